@@ -50,8 +50,9 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     """UTF-8 bytes of a string column as one array, and n + 1 offsets into it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = column.fill_null("") if column.null_count else column
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(kind) if column.type != kind else column
+    column = column.fill_null("" if kind == pa.large_string() else b"") if column.null_count else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
