@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, substring_dedup, url_filter
+from . import decontamination, near_dup, quality_rules, sharding, substring_dedup, url_filter
 from .sql import ORACLE_SQL
 
 
@@ -33,10 +33,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_s_shard").alias("shard"), F.col("_s_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", F.col("_u_host").alias("host"), F.col("_u_path").alias("path"), F.col("_u_rule").alias("rule"), F.col("_u_verdict").alias("verdict"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_sharding, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_sharding, op5_decontamination, op9_near_dup, op10_url_filter)}
 __all__ = ["QUERIES", "ORACLE_SQL"]
