@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dup, packing, quality_rules, sharding, substring_dedup, url_filter
+from . import decontamination, html_extraction, language_id, near_dup, packing, quality_knn, quality_rules, sharding, substring_dedup, url_filter
 from .sql import ORACLE_SQL
 
 
@@ -20,6 +20,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("own.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_kept", "n_lines_failed")
@@ -47,6 +51,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo divisor; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(divisor))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(5) == 0)
+    model = language_id.fit(docs.where("not held_out"), "text", "lang")
+    said = language_id.predict(docs.select("doc_id", "text", "held_out"), model)
+    return said.select("doc_id", "held_out", F.col("_l_language").alias("lang_pred"), F.col("_l_score").alias("score"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(3) == 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_knn.fit(docs.where("not held_out").join(labels, "doc_id"), "text", "quality")
+    return quality_knn.score(docs, model).select("doc_id", "held_out", F.col("_k_score").alias("score"), (F.col("_k_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -57,5 +80,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("_u_host").alias("host"), F.col("_u_path").alias("path"), F.col("_u_rule").alias("rule"), F.col("_u_verdict").alias("verdict"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_sharding, op5_decontamination, op6_packing, op9_near_dup, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_sharding, op5_decontamination, op6_packing, op7_language_id, op8_quality_classifier, op9_near_dup, op10_url_filter)}
 __all__ = ["QUERIES", "ORACLE_SQL"]
