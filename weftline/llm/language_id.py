@@ -72,11 +72,15 @@ def frequencies(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def has_letter(column: pa.Array) -> np.ndarray:
     buf, offsets = text_buffers(column)
-    ascii_ = np.concatenate([[0], np.cumsum(_LETTER[buf | 0x20] & (buf < 0x80) & (buf >= 0x41))])
-    out = ascii_[offsets[1:]] > ascii_[offsets[:-1]]
-    wide = np.concatenate([[0], np.cumsum(buf >= 0x80)])
-    for i in np.flatnonzero(~out & (wide[offsets[1:]] > wide[offsets[:-1]])):
-        out[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    out = np.zeros(len(column), bool)
+    for a, b in slabs(offsets):
+        part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        plain = np.flatnonzero(_LETTER[part | 0x20] & (part < 0x80) & (part >= 0x41))
+        wide = np.flatnonzero(part >= 0x80)
+        inside = lambda x: np.diff(np.searchsorted(x, at)) > 0
+        out[a:b] = inside(plain)
+        for i in np.flatnonzero(~out[a:b] & inside(wide)):
+            out[a + i] = any(c.isalpha() for c in column[int(a + i)].as_py())
     return out
 
 
