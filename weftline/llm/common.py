@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BYTES_AT_ONCE = 2 << 20
 
 
@@ -22,22 +22,42 @@ def scratch(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/weftline-checkpoints"
 
 
+#: Whole texts travel in Arrow batches, so these hold fewer rows than by default.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the writes inside are removed when each write ends, so that disk holds one step at a time."""
-    before = spark.conf.get(FILE_CLEANUP, None)
-    spark.conf.set(FILE_CLEANUP, "true")
+def step_settings(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside are removed when each write ends, so that disk holds one step at a time; Arrow batches are small."""
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back to the system when its task ends: Python workers live on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffle_cleanup(spark):
+    with step_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

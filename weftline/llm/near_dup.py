@@ -1,13 +1,15 @@
 """Near-duplicates: ProbMinHash signatures of weighted word shingles, banding, exact verification, connected classes.
 
-A text is the weighted set of its `WORDS`-word shingles, weighted by how often each occurs (a text with fewer words is one
-shingle). Every shingle is a Poisson process: its arrivals, exponential steps divided by its weight, hit random signature
+A text is the weighted set of its `WORDS`-word shingles, weighted by one plus the logarithm of how often each occurs (a
+text with fewer words is one shingle). Every shingle is a Poisson process: its arrivals, exponential steps divided by its weight, hit random signature
 slots, and a slot keeps the shingle that came first. A text's processes stop as soon as they pass its latest slot, so long
 texts take little more than one arrival a shingle. Two signatures agree in a slot with the probability Jaccard similarity.
 
 Signatures are cut into bands; texts with an equal band are candidates. A bucket is never spread out into all its pairs:
-its members are compared with one hub, the member that meets the most others over all bands. Where a bucket still holds
-more than one class, it is tried with a second hub, and what is left is compared pair by pair, but only between classes.
+its members are compared with a hub, the member that meets the most others over all bands (each text with the best of its
+buckets' hubs). What is left is decided class by class: all texts outside a bucket's main class are laid beside that class,
+once for all buckets, and counted against it and each other, in cells of bounded size.
+So every candidate pair between classes is decided, no link is missed for the size of its bucket, and only links come out.
 A candidate is a link if the shingle sets' Jaccard similarity, counted exactly, is `SIMILARITY` or more; classes are the
 connected components of the links. So a link can be missed only if its texts share no band, which for a similarity of 0.8
 has a probability of 3e-6.
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, slabs, span_hashes, spans, stash, text_buffers
+from .common import gram_hashes, mix, parallelism, slabs, span_hashes, spans, stash, text_buffers, tidy
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Texts of a class, and outsiders, that are compared in one cell, about.
+CELL = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +61,7 @@ def signatures(gram: np.ndarray, text: np.ndarray, count: np.ndarray, texts: int
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     kept = np.full(texts * slots, none, np.uint64)
     latest = np.full(texts, np.inf)
-    time, step, rate = np.zeros(len(gram)), 0, 1.0 / count
+    time, step, rate = np.zeros(len(gram)), 0, 1.0 / (1.0 + np.log(count))
     while len(gram):
         block = max(1, min(32, 20_000 // len(gram)))
         for s in range(step + 1, step + block + 1):
@@ -89,14 +93,15 @@ def _sketch(k: int, bands: int, rows: int):
             buf, offsets = text_buffers(batch.column("text"))
             for a, b in slabs(offsets):
                 gram, text, count = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                hashes = band_hashes(signatures(gram, text, count, b - a, bands * rows), bands, rows).view(np.int64)
+                signature = signatures(gram, text, count, b - a, bands * rows)
+                hashes = band_hashes(signature, bands, rows).view(np.int64)
                 filled = np.bincount(text, minlength=b - a) > 0
+                part = batch.slice(a, b - a)
                 begin = np.concatenate([[0], np.cumsum(filled * bands)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(begin), pa.array(hashes[filled].ravel()))
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), listed], names=["id", "h1", "h2", "bands"])
 
-    return run
+    return tidy(run)
 
 
 def _verify(k: int, least: float):
@@ -111,19 +116,89 @@ def _verify(k: int, least: float):
                 both = np.bincount(sets[0][1][np.isin(own[0], own[1])], minlength=b - a)
                 yield part.filter(pa.array((both > 0) & (both >= least * (n[0] + n[1] - both)))).select(["a", "b"])
 
-    return run
+    return tidy(run)
+
+
+def _across(k: int, least: float):
+    """Links (a, b) in rows sorted by cell: each text of the side 1 against all texts of the cell that have another label."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        buf, offsets = text_buffers(rows.column("text"))
+        grams, owner = [], []
+        for a, b in slabs(offsets):
+            gram, text, _ = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+            grams.append(gram)
+            owner.append(text + a)
+        ids, owner = np.unique(np.concatenate(grams), return_inverse=True)[1], np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        ids, owner = ids[order], owner[order]
+        size = np.bincount(owner, minlength=len(rows))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        label, node, side = (rows.column(c).to_numpy() for c in ("label", "node", "side"))
+        met, found = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool), []
+        for x in np.flatnonzero(side == 1):
+            own = ids[begin[x] : begin[x + 1]]
+            met[own] = True
+            both = np.bincount(owner[met[ids]], minlength=len(rows))
+            met[own] = False
+            good = (both > 0) & (label != label[x]) & (both >= least * (size + size[x] - both))
+            found += [(int(node[x]), int(n)) for n in node[good]]
+        ends = list(zip(*found)) if found else [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and held and held[-1].column("cell")[0].as_py() != cell[a]:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return tidy(run)
+
+
+def _cells(dealt: DataFrame, most: int) -> DataFrame:
+    """dealt(key, node, label) as (cell, node, label, side): a key's outsiders (label other than the key; side 1) meet its insiders and each other. Large keys are cut into blocks of about `most` rows by a hash of the node."""
+    rows = dealt.withColumn("out", F.col("label") != F.col("key"))
+    blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / most)).cast("int")
+    plan = rows.groupBy("key").agg(blocks(~F.col("out")).alias("ins"), blocks(F.col("out")).alias("outs"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    i = own(F.col("outs"))
+    with_insiders = F.transform(upto(F.col("ins")), lambda j: F.struct(F.xxhash64("key", F.lit(0), i, j).alias("cell"), F.lit(1).alias("side")))
+    with_outsiders = F.transform(upto(F.col("outs")), lambda j: F.struct(F.xxhash64("key", F.lit(1), F.least(i, j), F.greatest(i, j)).alias("cell"), F.lit(1).alias("side")))
+    inside = F.transform(upto(F.col("outs")), lambda j: F.struct(F.xxhash64("key", F.lit(0), j, own(F.col("ins"))).alias("cell"), F.lit(0).alias("side")))
+    several = F.when(F.col("outs") > 1, F.concat(with_insiders, with_outsiders)).otherwise(with_insiders)
+    placed = rows.join(plan, "key").select("node", "label", F.explode(F.when(F.col("out"), several).otherwise(inside)).alias("c"))
+    return placed.select("c.cell", "node", "label", "c.side")
+
+
+#: Rows of a small table in one task.
+ROWS_IN_TASK = 50_000
+
+
+def snug(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in as few tasks as they need: an iteration over a small table is not dealt out as widely as the corpus."""
+    return df.coalesce(max(1, rows // ROWS_IN_TASK))
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label) for the nodes of links (a, b): the least node that each is connected with."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     edges = stash(ends, f"{name}-edges")
-    labels = stash(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), name)
+    n = edges.count()
+    labels = stash(snug(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), n), name)
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("m"))
         least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = stash(least.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), name)
+        step = stash(snug(least.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), n), name)
         labels = step.select("node", "label")
         if step.where("old != label").isEmpty():
             return labels
@@ -139,7 +214,8 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WO
     cut = nodes.select("node", F.explode("bands").alias("band"))
     met = cut.join(cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
     met = stash(met, "buckets")
-    members = stash(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), "members")
+    n_members = met.count()
+    members = stash(snug(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), n_members), "members")
     involved = nodes.select("node", "h1", "h2").join(members.select("node").distinct(), "node")
     texts = own.join(involved, ["h1", "h2"]).where("id = node").select("node", "text").dropDuplicates(["node"])
     texts = stash(texts, "texts")
@@ -149,24 +225,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WO
         both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return stash(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, least), "a long, b long"), name)
 
-    hub = members.groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
-    links = verified(members.join(hub, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "links")
-    labels = components(links)
-    for last in (False, True):
-        now = members.join(labels, "node", "left").select("band", "node", "score", F.coalesce("label", "node").alias("label"))
-        split = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-        now = stash(now.join(split, "band"), "split")
-        if now.isEmpty():
-            break
-        if last:
-            other = now.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = now.join(other, "band").where("label < other").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            best = now.groupBy("band").agg(F.max(F.struct(F.col("label") == F.col("node"), F.xxhash64("node"), "node", "label")).alias("h"))
-            pairs = now.join(best, "band").where("label != h.label").select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct()
-        fresh = verified(pairs, "links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
+    hub = members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("h")).select("band", F.col("h.node").alias("b"), F.col("h.score").alias("hub_score"))
+    met = members.join(hub, "band").where("node != b")
+    # each text is compared with the best of its buckets' hubs; a text linked to a hub takes its label from there
+    pairs = met.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("hub_score", "b")).alias("b"))
+    links = verified(pairs, "links")
+    above = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    labels = stash(snug(links.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("label")), n_members), "hub-labels")
+    # a hub under another one is labelled like its texts
+    now = members.join(labels, "node", "left").select("band", "node", "score", F.coalesce("label", "node").alias("label"))
+    split = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("score", "node")).alias("key")).where("low != high").select("band", "key")
+    dealt = stash(snug(now.join(split, "band").select("key", "node", "label").distinct(), n_members), "split")
+    cells = _cells(dealt, CELL).join(texts, "node").repartition(parallelism(docs.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    found = stash(cells.select("cell", "node", "label", "side", "text").mapInArrow(_across(k, least), "a long, b long"), "links")
+    labels = components(links.unionByName(found))
     known = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return own.select("own_id", "h1", "h2").join(known, ["h1", "h2"]).select(F.col("own_id").alias(id), "class_id")
