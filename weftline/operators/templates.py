@@ -101,3 +101,17 @@ def admit(ordered: DataFrame, per_template: int | None, per_section: int | None)
 
     folded = slim.repartition("site").sortWithinPartitions("site", "rank").mapInPandas(fold, "site string, rank int, admitted boolean")
     return ordered.join(folded, ["site", "rank"])
+
+
+def nav_urls(parsed: DataFrame) -> DataFrame:
+    """(site, url): what the home page's header and menus link to, outside its main part."""
+    home = F.regexp_replace(U.path(F.col("url")), "/+$", "") == ""
+    link = parsed.where(home).select("site", F.explode("internal_links").alias("l")).where(F.col("l.landmark").isin("header", "nav") & ~F.col("l.in_main"))
+    return link.select("site", U.normalize(F.col("l.href")).alias("url")).where("url is not null").distinct()
+
+
+def uses_wordpress(parsed: DataFrame) -> DataFrame:
+    """(site, wordpress): whether any page of a site names WordPress as its generator or shows pictures from its folder."""
+    made = F.lower(F.coalesce(F.try_element_at("meta", F.lit("generator")), F.lit(""))).contains("wordpress")
+    files = F.exists("images", lambda i: F.coalesce(i["src"].contains("/wp-content/"), F.lit(False)))
+    return parsed.groupBy("site").agg(F.bool_or(made | files).alias("wordpress"))

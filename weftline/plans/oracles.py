@@ -207,3 +207,14 @@ ORACLE_SQL: dict[str, str] = {
     "top_k_per_group": "SELECT * FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3",
 }
 ORACLE_SQL["image_kind"] = _image_kind()
+ORACLE_SQL["media_rollup"] = """SELECT * FROM (VALUES ('x.com/a.jpg', 'https://x.com/a.jpg', 'One', 2, 2, false, false, 300, 'photo'), ('x.com/b.png', 'https://x.com/b.png', 'Two', 1, 1, true, false, 80, 'photo'),
+  ('x.com/o.jpg', 'https://x.com/o.jpg', '', 1, 0, true, true, NULL, 'theme')) AS t(key, original, alts, seen, pages, chrome, og, width, kind)"""
+ORACLE_SQL["business_card"] = "SELECT * FROM " + rows("site, name, telephone, email, street, region, time_zone, hours, same_as, description, sources", [
+    ("s.com", "Acme", "555", "e@s.com", "1 A St", "NY", "America/New_York", "", "https://x.com/a", "about", "address=markup description=inventory email=markup name=markup telephone=facts"),
+    ("t.com", "Tea Room", None, None, "2 B Rd", "NV", "", "Mo 09:00-17:00", "", None, "address=facts name=title opening_hours=facts")])
+ORACLE_SQL["copyright_lines"] = "SELECT page_id, contains(html, '<footer>&copy;') AS stated, 2::BIGINT AS landmarks FROM pages"
+ORACLE_SQL["layout_problems"] = "SELECT * FROM " + rows("url, rule, line", [
+    ("u", "sideways", "390px, 900px: scrolls sideways by 30px, first past the edge: div"), ("u", "small-text", '390px, 900px: text at 12px in <p> "tiny"; 14px is the smallest a reader needs'),
+    ("u", "tight-panel", '900px: "t" is 4px from the left edge of <div>, a panel with its own ground; give it at least 16px of padding'), ("v", "not-measured", "390px: not measured: no answer")])
+ORACLE_SQL["feed_items"] = "SELECT * FROM " + rows("url, title, date, html", [("http://x/a", "T", "2024-01-02", "d")])
+ORACLE_SQL["sitemap_entries"] = "SELECT * FROM " + rows("id, pos, loc, lastmod", [(1, 0, "http://x/a", "2024-01-01"), (1, 1, "http://x/b", None), (2, 0, "http://x/c", None)])

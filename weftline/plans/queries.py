@@ -14,7 +14,7 @@ from ..functions import media as M
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions import url as U
-from ..operators import audit, changes, content, dedupe, facts, inventory, launch, links, templates
+from ..operators import audit, business, changes, content, dedupe, facts, furniture, inventory, launch, links, measure, media, templates
 from ..parse.stage import a11y_findings
 from . import site as S
 
@@ -559,4 +559,66 @@ def stream_dedupe(spark, sf_dir):
     return dedupe_once(spark, f"{sf_dir}/documents.parquet")
 
 
+# pictures, business, furniture, layout, places, feeds: tables of the query's own
+
+
+@query
+def media_rollup(spark, sf_dir):
+    """Occurrences of pictures by identity: one picture in two sizes on two pages, one used as a preview only."""
+    rows = [("s", "u1", 0, 0, "https://x.com/a-300x200.jpg", "One", False, False, 300), ("s", "u2", 1, 0, "https://x.com/a.jpg", "", True, False, None), ("s", "u2", 1, 1, "https://x.com/b.png?w=9", "Two", True, False, 80), ("s", "u2", 1, 2, "https://x.com/o.jpg", None, True, True, None)]
+    ddl = "site string, url string, ord bigint, pos int, src string, alt string, chrome boolean, og boolean, width int"
+    none = {c: F.lit(None).cast(t) for c, t in {"srcset": "array<struct<url:string,w:int>>", "height": "int", "shown": "int", "row": "int", "video": "boolean", "autoplay": "boolean", "heading": "string"}.items()}
+    seen = values(spark, ddl, rows).withColumns(none | {"step": F.lit(0), "background": F.lit(False), "beside": F.lit("")})
+    m = media.classify(media.rollup(seen))
+    return m.select("key", "original", F.array_join("alts", "|").alias("alts"), long(F.size("seen")).alias("seen"), long(F.size("pages")).alias("pages"), "chrome", "og", long("width").alias("width"), "kind")
+
+
+@query
+def business_card(spark, sf_dir):
+    items = [("s.com", "u0", 0, 0, '{"@type":"Dentist","name":"Acme","telephone":"1","address":{"streetAddress":"1 A St","addressRegion":"NY","addressCountry":"US"},"sameAs":["https://x.com/a"]}'), ("s.com", "u1", 1, 0, '{"@type":"Organization","name":"Other","email":"e@s.com","sameAs":"http://x.com/a/"}'), ("t.com", "u2", 2, 0, '{"@type":"Article","name":"No"}')]
+    merged = business.merge(values(spark, "site string, url string, ord bigint, pos int, item string", items))
+    homes = values(spark, "site string, title string, meta_description string", [("s.com", "Home", "about"), ("t.com", "Home | Tea Room", "")])
+    told = values(spark, "site string, kind string, value string, rank int", [("s.com", "phone", "555", 1), ("t.com", "hours", "Mon 9am-5pm", 1), ("t.com", "address", "2 B Rd, Reno, NV 89501", 1)])
+    c = business.card(homes, merged, told)
+    return c.select("site", "name", "telephone", "email", F.col("address.street").alias("street"), F.col("address.region").alias("region"), "time_zone", F.array_join("opening_hours", ";").alias("hours"), F.array_join("same_as", " ").alias("same_as"), "description", F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ").alias("sources"))
+
+
+@query
+def site_furniture(spark, sf_dir):
+    f = furniture.site_furniture(furniture.page_furniture(parsed(spark, sf_dir)))
+    return f.select("site", long("pages").alias("pages"), "has_landmarks", long(F.size("nav")).alias("nav"), long(F.size("social")).alias("social"), "copyright", long(F.size("pages_with_a_different_nav")).alias("differ"))
+
+
+@query
+def copyright_lines(spark, sf_dir):
+    """The copyright line of each page's footer."""
+    f = furniture.page_furniture(parsed(spark, sf_dir))
+    return f.select(F.col("ord").alias("page_id"), F.col("copyright").startswith("©").alias("stated"), long(F.size("landmarks")).alias("landmarks"))
+
+
+@query
+def layout_problems(spark, sf_dir):
+    from ..sources.contracts import LAYOUT_MEASURE
+
+    rows = [("u", 390, None, (30, "div"), [], [(12.0, "p", "tiny")], [], 0), ("u", 900, None, (10, "div"), [], [(12.0, "p", "tiny")], [(4, "left", "div", "t")], 1), ("v", 390, "no answer", None, [], [], [], 0)]
+    return measure.problems(values(spark, LAYOUT_MEASURE + ", ord int", rows)).select("url", "rule", "line")
+
+
+@query
+def feed_items(spark, sf_dir):
+    from ..sources import feeds
+
+    rss = "<rss><channel><item><title>T</title><link>/a</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>d</description></item></channel></rss>"
+    f = feeds.items(values(spark, "feed_url string, ord bigint, xml string", [("http://x/feed", 0, rss), ("http://x/bad", 1, "<")]))
+    return f.select("url", "title", "date", "html")
+
+
+@query
+def sitemap_entries(spark, sf_dir):
+    from ..sources import sitemaps
+
+    s = values(spark, "id bigint, xml string", [(1, "<url><loc> http://x/a </loc><lastmod>2024-01-01</lastmod></url><url><loc>http://x/b</loc></url>"), (2, "<loc>http://x/c</loc>"), (3, "none")])
+    return s.select("id", F.posexplode(sitemaps.entries(F.col("xml"))).alias("pos", "e")).select("id", long("pos").alias("pos"), "e.loc", "e.lastmod")
+
+
 QUERIES["inventory"] = inventory_rows

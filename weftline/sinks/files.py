@@ -51,3 +51,12 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def place_lines(places: DataFrame) -> DataFrame:
+    """(place_id, ord, line): a place's facts as a list."""
+    hours = F.array_join("opening_hours", ", ")
+    rating = F.when(F.col("rating").isNotNull(), F.concat(F.col("rating").cast("string"), F.lit(" from "), F.coalesce(F.col("review_count").cast("string"), F.lit("None")), F.lit(" reviews")))
+    facts = [("Address", F.col("formatted_address")), ("Phone", F.nullif(F.col("telephone"), F.lit(""))), ("Website", F.nullif(F.col("website"), F.lit(""))), ("Type", F.nullif(F.col("primary_type"), F.lit(""))), ("Status", F.nullif(F.col("status"), F.lit(""))), ("Rating", rating), ("Hours (schema.org)", F.nullif(hours, F.lit(""))), ("Time zone", F.nullif(F.col("time_zone"), F.lit("")))]
+    lines = F.filter(F.array(*[F.concat(F.lit(f"- **{name}:** "), value) for name, value in facts]), lambda x: x.isNotNull())
+    return places.select("place_id", F.posexplode(lines).alias("ord", "line"))

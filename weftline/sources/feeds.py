@@ -80,3 +80,13 @@ def feed_links(html: Column) -> Column:
 def wordpress_api(html: Column) -> Column:
     """The REST address that WordPress puts in a page's head."""
     return F.nullif(F.regexp_extract(html, r"(?i)<link[^>]+rel=[\"']https://api\.w\.org/[\"'][^>]*href=[\"']([^\"']+)[\"']", 1), F.lit(""))
+
+
+def discovered(homes: DataFrame) -> DataFrame:
+    """homes(site, url, html): (site, feed_url, ord): feeds that the home page names, then the usual places, each once and only on the site itself."""
+    from ..functions import url as U
+    from .sitemaps import resolve
+
+    every = F.concat(feed_links(F.col("html")), F.array(*[F.lit(p) for p in FEED_PATHS]))
+    rows = homes.select("site", "url", F.posexplode(every).alias("ord", "href")).select("site", resolve(F.col("url"), F.col("href")).alias("feed_url"), "ord")
+    return rows.where(U.site(F.col("feed_url")) == F.col("site")).groupBy("site", "feed_url").agg(F.min("ord").alias("ord"))
