@@ -105,5 +105,7 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
 
 def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that stay, with the lines that passed as their text; same columns as docs."""
-    kept = judge(docs, text, rules).where("_q_.kept")
-    return kept.select(*[F.col("_q_.clean_text").alias(c) if c == text else F.char_length("_q_.clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(docs, text, rules)
+    # as a generator's input the verdict is made once; a filter on it would make it a second time
+    kept = judged.select(*[F.col(f"`{c}`").alias(f"_q_{i}") for i, c in enumerate(docs.columns)], F.explode(F.filter(F.array("_q_"), lambda v: v["kept"])).alias("_q_"))
+    return kept.select(*[(F.col("_q_.clean_text") if c == text else F.char_length("_q_.clean_text").cast("long") if c == "n_chars" else F.col(f"_q_{i}")).alias(c) for i, c in enumerate(docs.columns)])
