@@ -7,8 +7,8 @@ lines are aligned by longest common subsequence, and lines that both have are de
 other: then nothing can be told from what they share. Only lines whose place leaves it open are deleted so: lines of an
 article element are the article, furniture goes in any case.
 
-Hosts are not gathered: pages are dealt by ranges of (host, path), so a large host spreads over many tasks, and the pages at
-a range's ends use the neighbour on their own side.
+Hosts are not gathered: pages are dealt by ranges of (host, path), so a large host spreads over many tasks. The pages at a
+range's ends are finished in a second, small step with the page across the border, so where ranges end makes no difference.
 
 Defined results: null html and pages without text give an empty text; a null URL sorts first, with an empty host; equal
 pages are copies and keep their lines; very long pages are read whole; an empty table gives an empty table. Columns other
@@ -17,6 +17,7 @@ than the three named are not read.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -24,10 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, stash, tidy
 from .url_filter import host_of, path_of
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -42,11 +44,20 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus reply replies respond share sharing social related widget toolbar skip paywall".split()
 )
-OUTER_WORDS = frozenset("header masthead topbar banner hero".split())
+OUTER_WORDS = frozenset("header masthead topbar banner hero alert alerts announcement toast".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
+#: Elements that leave no gap in the words around them.
+UNSEEN = frozenset("script style template".split())
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
+
+
 ARTICLE, OUTSIDE, GONE, MAIN = 0, 1, 2, 3
 #: A pair that shares more than this share of a page's characters are copies.
 COPY_SHARE = 0.5
@@ -97,7 +108,7 @@ def page_lines(page: str) -> tuple[list[str], list[int], bool]:
                 pieces.append(html.escape(m[0][9:].removesuffix("]]>"), False))
             continue
         tag = tag.lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             flush()
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
@@ -107,7 +118,7 @@ def page_lines(page: str) -> tuple[list[str], list[int], bool]:
                     break
             continue
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _end_of(tag).search(page, at)
             at = end.end() if end else n
             continue
         if tag in VOID or tag in OPEN and not m[3].strip():
@@ -164,44 +175,59 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("page_id", "url", "host", "path")], pa.array(packed, pa.binary())], names=["page_id", "url", "host", "path", "lines"])
 
 
+def _load(packed: bytes | None) -> tuple[list[str], list[int], bool] | None:
+    return None if packed is None else json.loads(zlib.decompress(packed))
+
+
+def _text(page: bytes, other: bytes | None) -> str:
+    """Main text of a page beside its neighbour's lines."""
+    lines, places, whole = _load(page)
+    if whole:
+        return " ".join(x for x, p in zip(lines, places) if p == ARTICLE)
+    left = {i for i, p in enumerate(places) if p == OUTSIDE}
+    if other is not None:
+        both = shared(lines, _load(other)[0])
+        size = lambda at: sum(len(lines[i]) for i in at)
+        if size(both & left) <= COPY_SHARE * size(left):
+            left -= both
+    return " ".join(lines[i] for i in sorted(left))
+
+
+_DONE = "page_id long, url string, text string, n_chars long"
+_FIRST, _LAST = 1, 2
+#: A range's first page, and a last one that is alone on its host there, wait for the page across the border: text is null.
+_PASS = f"{_DONE}, part int, ends int, host string, lines binary, behind binary"
+
+
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page in its order, with the page before and behind it at hand."""
+    """Each page of a range in its order, with the page before and behind it at hand."""
+    part = TaskContext.get().partitionId()
+    names = ["page_id", "url", "text", "n_chars", "part", "ends", "host", "lines", "behind"]
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+    out: list[tuple] = []
 
     def rows() -> Iterator[dict | None]:
         for batch in batches:
             yield from batch.to_pylist()
         yield None
 
-    def load(r: dict) -> dict:
-        r["lines"], r["places"], r["whole"] = json.loads(zlib.decompress(r["lines"]))
-        return r
-
-    def text(r: dict, other: dict | None) -> str:
-        if r["whole"]:
-            return " ".join(x for x, p in zip(r["lines"], r["places"]) if p == ARTICLE)
-        left = {i for i, p in enumerate(r["places"]) if p == OUTSIDE}
-        if other is not None and other["host"] == r["host"]:
-            both = shared(r["lines"], other["lines"])
-            size = lambda at: sum(len(r["lines"][i]) for i in at)
-            if size(both & left) <= COPY_SHARE * size(left):
-                left -= both
-        return " ".join(r["lines"][i] for i in sorted(left))
-
-    before = now = None
-    out: list[tuple] = []
-
     def batch() -> pa.RecordBatch:
-        cols = list(zip(*out))
-        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
         out.clear()
         return done
 
+    before = now = None
     for behind in rows():
-        behind = behind and load(behind)
         if now is not None:
-            other = before if before is not None and before["host"] == now["host"] else behind
-            t = text(now, other)
-            out.append((now["page_id"], now["url"], t, len(t)))
+            same = lambda x: x is not None and x["host"] == now["host"]
+            ends = _FIRST * (before is None) + _LAST * (behind is None)
+            follows = behind["lines"] if same(behind) else None
+            if before is None or not same(before) and behind is None:
+                out.append((now["page_id"], now["url"], None, None, part, ends, now["host"], now["lines"], follows))
+            else:
+                t = _text(now["lines"], before["lines"] if same(before) else follows)
+                keep = now["lines"] if ends else None
+                out.append((now["page_id"], now["url"], t, len(t), part, ends, now["host"], keep, None))
             if len(out) >= 512:
                 yield batch()
         before, now = now, behind
@@ -209,10 +235,28 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_text(r["lines"], r["before"] or r["behind"] or r["next"]) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     u = F.col(f"`{url}`").cast("string")
     own = pages.select(F.col(f"`{id}`").cast("long").alias("page_id"), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"), F.col(f"`{page}`").cast("string").alias("html"))
-    read = own.mapInArrow(_read, "page_id long, url string, host string, path string, lines binary")
+    read = own.mapInArrow(tidy(_read), "page_id long, url string, host string, path string, lines binary")
     dealt = read.repartitionByRange(parallelism(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.mapInArrow(_differ, "page_id long, url string, text string, n_chars long")
+    seen = stash(dealt.mapInArrow(tidy(_differ), _PASS), "extracted")
+    # ranges that hold pages, in order: one number for each partition
+    parts = sorted(r["part"] for r in seen.where(F.col("ends").bitwiseAND(_FIRST) > 0).select("part").collect())
+    order = pages.sparkSession.createDataFrame([(p, i) for i, p in enumerate(parts)], "part int, at int")
+    edges = seen.where("ends > 0").join(F.broadcast(order), "part")
+    last = edges.where(F.col("ends").bitwiseAND(_LAST) > 0).select((F.col("at") + 1).alias("at"), "host", F.col("lines").alias("before"))
+    first = edges.where(F.col("ends").bitwiseAND(_FIRST) > 0).select((F.col("at") - 1).alias("at"), "host", F.col("lines").alias("next"))
+    open_ = edges.where("text is null")
+    # only a range's first page has one before it across the border, only its last one a page behind
+    met = open_.withColumn("b", F.when(F.col("ends").bitwiseAND(_FIRST) > 0, F.col("at"))).join(last.withColumnRenamed("at", "b"), ["b", "host"], "left")
+    met = met.withColumn("n", F.when(F.col("ends").bitwiseAND(_LAST) > 0, F.col("at"))).join(first.withColumnRenamed("at", "n"), ["n", "host"], "left")
+    rest = met.select("page_id", "url", "lines", "before", "behind", "next").mapInArrow(_borders, _DONE)
+    return seen.where("text is not null").select("page_id", "url", "text", "n_chars").unionByName(rest)
