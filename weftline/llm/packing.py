@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slabs, span_hashes, text_buffers
+from .common import parallelism, slabs, span_hashes, text_buffers, tidy
 
 WINDOW, END = 2048, 1
 #: Documents packed together, about.
 BIN = 4096
 #: Distinct chunks remembered by a worker.
-REMEMBER = 600_000
+REMEMBER = 300_000
 #: Bytes of text encoded together.
 TEXT_AT_ONCE = 4 << 20
 
@@ -178,7 +178,7 @@ def _pieces(path: str, window: int, end: int):
                         out.append((key, row, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return run
+    return tidy(run)
 
 
 _PLACED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -208,7 +208,7 @@ def _place(window: int):
         if held:
             yield packed(pa.Table.from_batches(held))
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, per_bin: int = BIN) -> DataFrame:
