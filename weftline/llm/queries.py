@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, language_id, near_dup, packing, quality_knn, quality_rules, sharding, substring_dedup, url_filter
-from .sql import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +80,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_sharding, op5_decontamination, op6_packing, op7_language_id, op8_quality_classifier, op9_near_dup, op10_url_filter)}
-__all__ = ["QUERIES", "ORACLE_SQL"]

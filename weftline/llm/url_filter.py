@@ -11,7 +11,6 @@ with `_u_`, other columns are carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
