@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import markup as K
 from ..functions import media as M
 from ..functions import rules as R
 from ..functions import text as X
@@ -124,9 +123,6 @@ def _image_kind() -> str:
     return f"SELECT id, {case(rules, chr(39) + 'theme' + chr(39))} AS kind FROM (SELECT *, lower(src) AS s, lower(coalesce(alt, '')) AS a, {part('lower(src)', 3)} AS path, {host('lower(src)')} AS h, string_split({part('lower(src)', 3)}, '/')[-1] AS name FROM {_images()})"
 
 
-_A11Y = f"""SELECT page_id, finding FROM (SELECT page_id, unnest(list_filter([CASE WHEN regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) = '' THEN 'no lang attribute on <html>' END,
-  CASE WHEN NOT contains(html, 'viewport') THEN 'no viewport meta tag' END], lambda x: x IS NOT NULL)) AS finding FROM pages)"""
-
 ORACLE_SQL: dict[str, str] = {
     "url_normalize": normal("pages", "page_id"),
     "url_same_site": f"SELECT page_id, {site('url')} AS site, {site('url')} = 'theran.example.net' AS same_site FROM pages",
