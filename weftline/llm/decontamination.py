@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, slabs, span_hashes, spans, stash, text_buffers
+from .common import mix, powers, slabs, span_hashes, spans, stash, text_buffers, tidy
 
 #: Masks over SPAN positions (1: the token counts). Each has weight 7.
 MASKS = ("11101001011", "11010110101", "10111010101", "11111110000")
@@ -67,7 +67,7 @@ def _seeds(masks: tuple[str, ...], context: int, table: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = tokens(batch.column("text"))
-            rows, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id"))
+            rows, ids = batch.column("row").to_numpy(zero_copy_only=False), batch.column("id")
             text = np.repeat(np.arange(len(ids)), np.diff(first))
             found = []
             for number, mask in enumerate(masks):
@@ -87,9 +87,9 @@ def _seeds(masks: tuple[str, ...], context: int, table: np.ndarray | None):
             owner = np.concatenate([text[at], block[0]]).astype(np.int64)
             seeds = pa.array(np.concatenate([seed.view(np.int64), np.zeros(len(base), np.int64)]), mask=np.arange(len(near)) >= len(seed))
             where = np.concatenate([at - begin, block[1]])
-            yield pa.RecordBatch.from_arrays([seeds, pa.array(rows[owner], pa.int64()), pa.array(ids[owner], pa.int64()), pa.array(where, pa.int64()), pa.array(near, pa.binary()), pa.array(np.diff(first)[owner], pa.int64())], names=["seed", "row", "id", "at", "near", "n"])
+            yield pa.RecordBatch.from_arrays([seeds, pa.array(rows[owner], pa.int64()), ids.take(pa.array(owner)), pa.array(where, pa.int64()), pa.array(near, pa.binary()), pa.array(np.diff(first)[owner], pa.int64())], names=["seed", "row", "id", "at", "near", "n"])
 
-    return run
+    return tidy(run)
 
 
 _SEEDS = "seed long, row long, id long, at long, near binary, n long"
@@ -143,7 +143,7 @@ def _verify(context: int, least: int, share: float, mismatch: int):
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item_id", "start", "length", "same"])
 
-    return run
+    return tidy(run)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
