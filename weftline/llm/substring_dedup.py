@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, parallelism, powers, slabs, sliding_min, span_hashes, spans, stash, text_buffers
+from .common import gram_hashes, mix, parallelism, powers, slabs, sliding_min, span_hashes, spans, stash, text_buffers, tidy
 from .fm_index import FMIndex, repeated_spans
 
 WIDTH, SEED = 35, 8
 #: Windows in a segment; distinct segments of one minimizer from which its windows are dealt one by one; words in an index.
-LONGEST, HOT, INDEX_WORDS = 32, 4096, 1 << 19
+LONGEST, HOT, INDEX_WORDS = 32, 512, 1 << 19
 _ODD = 0xD1342543DE82EF95
 _BACK = np.uint64(pow(_ODD, -1, 1 << 64))
 
@@ -94,7 +94,7 @@ def _runs(width: int, seed: int):
                 s = Segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, seed)
                 yield _batch(schema, [_signed(s.minimizer), _signed(s.content), rows[a:b][s.owner], (s.start - s.first[s.owner]).astype(np.int32), s.times])
 
-    return run
+    return tidy(run)
 
 
 def _pieces(width: int, seed: int):
@@ -133,7 +133,7 @@ def _pieces(width: int, seed: int):
                 words = [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist())]
                 yield _batch(schema, [_signed(np.where(h, whole, s.minimizer[seg])), _signed(whole), _signed(s.minimizer[seg]), _signed(s.content[seg]), shift.astype(np.int32), n, h, pa.array(words, pa.binary())])
 
-    return run
+    return tidy(run)
 
 
 def _search(width: int):
@@ -173,7 +173,7 @@ def _search(width: int):
         if sum(map(len, held)):
             yield spans_of(pa.Table.from_batches(held))
 
-    return run
+    return tidy(run)
 
 
 def _kept(with_text: bool):
@@ -194,7 +194,7 @@ def _kept(with_text: bool):
                 texts.append(out.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=["own", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return run
+    return tidy(run)
 
 
 def dedupe(docs: DataFrame, text: str = "text", carry: list[str] | None = None, with_text: bool = True, width: int = WIDTH, seed: int = SEED) -> DataFrame:
