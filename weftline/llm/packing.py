@@ -31,7 +31,7 @@ WINDOW, END = 2048, 1
 #: Documents packed together, about.
 BIN = 4096
 #: Distinct chunks remembered by a worker.
-REMEMBER = 300_000
+REMEMBER = 500_000
 #: Bytes of text encoded together.
 TEXT_AT_ONCE = 4 << 20
 
