@@ -64,8 +64,9 @@ def brute_greedy(texts):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_greedy_duplicates(spark, parts):
+@pytest.mark.parametrize("parts, small", [(1, 64), (5, 64), (3, 1), (3, 4)])
+def test_greedy_duplicates(spark, monkeypatch, parts, small):
+    monkeypatch.setattr(dedupe, "SMALL_BAND", small)
     rng, texts = random.Random(4), []
     for g in range(6):
         base = [f"g{g}w{rng.randrange(99)}" for _ in range(400)]

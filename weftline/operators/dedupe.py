@@ -1,8 +1,9 @@
 """Exact and near duplicates as a reader in order would drop them: a page goes if its text equals a kept one's, or if nine in ten of its signature match a kept one's that shares a band.
 
-Copies of one text share the fate of the first. Among the first ones the rule runs in rounds: a page that is the earliest
-undecided one in all its bands is kept, and the undecided pages in its bands that match it are dropped. Only a round's kept
-pages are compared, so a band with many pages is never spread out into all pairs.
+Copies of one text share the fate of the first. Among the first ones the rule runs in rounds: a page with no undecided
+earlier one that could drop it is kept, and undecided pages that match it are dropped. Pages of small bands are compared once,
+and only matches stay between them; in a large band only the earliest undecided page is compared with the others in a round,
+so it is never spread out into all pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.written import written
+from ..plans.written import spread, written
+
+
+#: Bands of up to so many pages are compared in all pairs at once; larger ones page by page with their earliest.
+SMALL_BAND = 64
 
 
 def exact(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -35,29 +40,43 @@ def candidate_pairs(signed: DataFrame, threshold: float = X.THRESHOLD) -> DataFr
 
 def greedy(pages: DataFrame, text: str = "text", threshold: float = X.THRESHOLD, kept_before: DataFrame | None = None) -> DataFrame:
     """(site, ord, kept, reason) for each page; reason is exact_duplicate, near_duplicate or null. kept_before(site, ord, digest, signature) are pages kept by an earlier run: they come first and are not returned."""
-    firsts = exact(pages, text)
+    firsts = written(exact(pages, text), "firsts")
     body = pages.select("site", "ord", F.coalesce(F.col(text), F.lit("")).alias("body"))
-    nodes = firsts.where("kept").join(body, ["site", "ord"]).select("site", "ord", "digest", X.minhash(F.col("body")).alias("signature"))
+    nodes = spread(firsts.where("kept").join(body, ["site", "ord"])).select("site", "ord", "digest", X.minhash(F.col("body")).alias("signature"))
     if kept_before is not None:
         old = kept_before.select("site", (F.col("ord") - F.lit(1 << 60)).alias("ord"), "digest", "signature")
         known = old.select("site", "digest").distinct().withColumn("known", F.lit(True))
         nodes = nodes.join(known, ["site", "digest"], "left_anti").unionByName(old)
     nodes = written(nodes, "signatures")
     rows = written(nodes.select("site", "ord", F.explode(X.bands(F.col("signature"))).alias("band")), "bands")
-    crowd = rows.groupBy("site", "band").count().where("count > 1").select("site", "band")
-    rows = written(rows.join(crowd, ["site", "band"]), "crowded")
-    lonely = nodes.join(rows.select("site", "ord").distinct(), ["site", "ord"], "left_anti").select("site", "ord", F.lit(True).alias("kept"))
-    decided, open_ = lonely, rows
-    while not open_.isEmpty():
+    size = rows.groupBy("site", "band").count().where("count > 1")
+    rows = written(rows.join(size, ["site", "band"]), "crowded")
+    signature = nodes.select("site", "ord", "signature")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """pairs(site, a, b) that agree."""
+        both = pairs.join(signature.withColumnsRenamed({"ord": "a", "signature": "sa"}), ["site", "a"]).join(signature.withColumnsRenamed({"ord": "b", "signature": "sb"}), ["site", "b"])
+        return both.where(X.agreement(F.col("sa"), F.col("sb")) >= threshold).select("site", "a", "b")
+
+    few = rows.where(F.col("count") <= SMALL_BAND).select("site", "band", "ord")
+    met = few.withColumnRenamed("ord", "a").join(few.withColumnRenamed("ord", "b"), ["site", "band"]).where("a < b").select("site", "a", "b").distinct()
+    edges = written(alike(met), "alike")
+    open_ = written(rows.where(F.col("count") > SMALL_BAND).select("site", "band", "ord"), "open")
+    waiting = written(open_.select("site", "ord").union(edges.select("site", "a")).union(edges.select("site", "b")).distinct(), "waiting")
+    decided = nodes.select("site", "ord").join(waiting, ["site", "ord"], "left_anti").withColumn("kept", F.lit(True))
+    while not waiting.isEmpty():
         lead = open_.groupBy("site", "band").agg(F.min("ord").alias("lead"))
-        ranked = open_.join(lead, ["site", "band"])
-        keep = ranked.groupBy("site", "ord").agg(F.bool_and(F.col("ord") == F.col("lead")).alias("first")).where("first").select("site", "ord")
-        heads = ranked.join(keep.withColumnRenamed("ord", "lead"), ["site", "lead"]).where("ord != lead").select("site", "ord", "lead").distinct()
-        signed = heads.join(nodes.select("site", "ord", "signature"), ["site", "ord"]).join(nodes.select("site", F.col("ord").alias("lead"), F.col("signature").alias("other")), ["site", "lead"])
-        drop = signed.where(X.agreement(F.col("signature"), F.col("other")) >= threshold).select("site", "ord").distinct()
-        step = written(keep.withColumn("kept", F.lit(True)).unionByName(drop.withColumn("kept", F.lit(False))), "decided")
-        decided = decided.unionByName(step)
-        open_ = written(open_.join(step, ["site", "ord"], "left_anti"), "open")
+        behind = open_.join(lead, ["site", "band"]).where("ord != lead").select("site", "ord", "lead").distinct()
+        blocked = behind.select("site", "ord").union(edges.select("site", "b")).distinct()
+        keep = written(waiting.join(blocked, ["site", "ord"], "left_anti"), "keep")
+        head = keep.withColumnRenamed("ord", "a")
+        drop = alike(behind.select("site", F.col("lead").alias("a"), F.col("ord").alias("b")).join(head, ["site", "a"])).unionByName(edges.join(head, ["site", "a"]))
+        step = written(keep.withColumn("kept", F.lit(True)).unionByName(drop.select("site", F.col("b").alias("ord")).distinct().withColumn("kept", F.lit(False))), "decided")
+        decided, done = decided.unionByName(step), step.select("site", "ord")
+        open_ = written(open_.join(done, ["site", "ord"], "left_anti"), "open")
+        gone = lambda c: done.withColumnRenamed("ord", c)
+        edges = written(edges.join(gone("a"), ["site", "a"], "left_anti").join(gone("b"), ["site", "b"], "left_anti").select("site", "a", "b"), "alike")
+        waiting = written(waiting.join(done, ["site", "ord"], "left_anti"), "waiting")
     fate = firsts.join(decided.select("site", F.col("ord").alias("first_ord"), F.col("kept").alias("first_kept")), ["site", "first_ord"], "left")
     # a first text that an earlier run kept is an exact duplicate itself
     known_text = F.col("first_kept").isNull()

@@ -17,6 +17,7 @@ from ..functions import url as U
 from ..operators import audit, business, changes, content, dedupe, facts, furniture, inventory, launch, links, measure, media, templates
 from ..parse.stage import a11y_findings
 from . import site as S
+from .written import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,7 +169,7 @@ def exact_duplicates(spark, sf_dir):
 
 @query
 def minhash_signature(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(X.minhash(F.col("text")).cast("array<string>"), ",")).alias("signature"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(F.array_join(X.minhash(F.col("text")).cast("array<string>"), ",")).alias("signature"))
 
 
 @query

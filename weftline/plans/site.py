@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..functions import url as U
 from ..operators import content, dedupe, inventory, links, templates
 from ..parse.stage import parse
-from .written import written
+from .written import spread, written
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ PROFILES = {p.name: p for p in (Profile("survey", 100, "none", 2, 6), Profile("b
 def parsed_pages(pages: DataFrame, order: str = "page_id", cut: bool = True) -> DataFrame:
     """pages(page_id, url, html) parsed, with site and ord. The result is written: a parse must not be repeated by each of its readers."""
     rows = pages.select(U.site(F.col("url")).alias("site"), F.col(order).cast("bigint").alias("ord"), "url", "html")
-    out = parse(rows).withColumn("tracking", K.tracking_ids(F.col("html"))).drop("html")
+    out = parse(spread(rows)).withColumn("tracking", K.tracking_ids(F.col("html"))).drop("html")
     return written(out, "parsed") if cut else out
 
 
