@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import near_dup as N
@@ -89,3 +90,18 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (103, 101)], "a bigint, b bigint")
     got = {r.node: r.label for r in N.components(links).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_links_of_texts_with_repeated_passages():
+    """Pairs of set similarity 0.8 that differ in looped passages share a band like any others."""
+    rng, texts = random.Random(9), []
+    for i in range(300):
+        common = [f"c{i}x{rng.randrange(10**6)}" for _ in range(360)]
+        loops = [[f"{side}{i}x{j}" for j in range(40)] * 11 for side in "ab"]
+        texts += [" ".join(common + loop) for loop in loops]
+        assert 0.8 <= len(sets(texts[-1]) & sets(texts[-2])) / len(sets(texts[-1]) | sets(texts[-2])) < 0.81
+    n = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, n, pa.array(texts)], names=["id", "h1", "h2", "text"])
+    bands = [b for part in N._sketch(N.WORDS, N.BANDS, N.ROWS)(iter([batch])) for b in part.column("bands").to_pylist()]
+    assert all(len(b) == len(set(b)) for b in bands)
+    assert sum(not set(a) & set(b) for a, b in zip(bands[::2], bands[1::2])) == 0

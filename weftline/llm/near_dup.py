@@ -5,14 +5,16 @@ text with fewer words is one shingle). Every shingle is a Poisson process: its a
 slots, and a slot keeps the shingle that came first. A text's processes stop as soon as they pass its latest slot, so long
 texts take little more than one arrival a shingle. Two signatures agree in a slot with the probability Jaccard similarity.
 
-Signatures are cut into bands; texts with an equal band are candidates. A bucket is never spread out into all its pairs:
+Signatures are cut into bands; texts with an equal band are candidates. Links are defined by the shingle sets, so a text with
+repeated shingles also has the bands of its signature with unit weights. A bucket is never spread out into all its pairs:
 its members are compared with a hub, the member that meets the most others over all bands (each text with the best of its
 buckets' hubs). What is left is decided class by class: all texts outside a bucket's main class are laid beside that class,
 once for all buckets, and counted against it and each other, in cells of bounded size.
 So every candidate pair between classes is decided, no link is missed for the size of its bucket, and only links come out.
 A candidate is a link if the shingle sets' Jaccard similarity, counted exactly, is `SIMILARITY` or more; classes are the
-connected components of the links. So a link can be missed only if its texts share no band, which for a similarity of 0.8
-has a probability of 3e-6.
+connected components of the links. So a link can be missed only if its texts share no band. Their signatures with
+unit weights agree in a slot with the probability of that similarity, so for 0.8 this has a probability of 3e-6, however
+often shingles repeat.
 
 Equal texts are one node from the start. Steps end in written tables; labels spread with pointer jumping.
 
@@ -94,11 +96,17 @@ def _sketch(k: int, bands: int, rows: int):
             for a, b in slabs(offsets):
                 gram, text, count = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 signature = signatures(gram, text, count, b - a, bands * rows)
-                hashes = band_hashes(signature, bands, rows).view(np.int64)
+                hashes = np.repeat(band_hashes(signature, bands, rows)[:, None], 2, 1)
+                # where no shingle repeats, the signature with unit weights is the same
+                again = np.bincount(text, count > 1, minlength=b - a) > 0
+                own, number = again[text], np.cumsum(again) - 1
+                unit = signatures(gram[own], number[text[own]], np.ones(int(own.sum()), np.int64), int(again.sum()), bands * rows)
+                hashes[again, 1] = band_hashes(unit, bands, rows)
                 filled = np.bincount(text, minlength=b - a) > 0
+                listed = np.stack([np.repeat(filled[:, None], bands, 1), hashes[:, 0] != hashes[:, 1]], 1)
                 part = batch.slice(a, b - a)
-                begin = np.concatenate([[0], np.cumsum(filled * bands)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(begin), pa.array(hashes[filled].ravel()))
+                begin = np.concatenate([[0], np.cumsum(listed.sum((1, 2)))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(begin), pa.array(hashes[listed].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), listed], names=["id", "h1", "h2", "bands"])
 
     return tidy(run)
