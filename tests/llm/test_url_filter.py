@@ -47,3 +47,17 @@ def test_same_as_fnmatch():
     urls = ["ads.x.com/", "x.com/wp-admin/a", "x.com/a.zip", "x.com/tag/a/page/2", "x.com/fine"]
     got = U.Automaton(U.BLOCK_GLOBS).matches(*text_buffers(pa.array(urls))).any(1)
     assert got.tolist() == [any(fnmatch.fnmatchcase(u, g) for g in U.BLOCK_GLOBS) for u in urls]
+
+
+def test_host_of_a_rule_in_the_path(spark):
+    """A site rule looks for its host in the host only."""
+    cases = [
+        ("http://a.net/r/www.site.org/x", None, "allow"),
+        ("http://a.net/r/www.site.org/casino", None, "block"),
+        ("http://a.net/r/b.com/de/x", None, "allow"),
+        ("http://a.org/m/www.example.org/es/x", "org/", "allow"),
+        ("http://x.example.org/m/b.com/de/", "org/", "allow"),
+        ("http://x.y.b.com/de/www.site.org/", "com/de/", "block"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id bigint, url string")
+    assert {r.page_id: (r["_u_rule"], r["_u_verdict"]) for r in U.judge(rows).collect()} == {i: c[1:] for i, c in enumerate(cases)}

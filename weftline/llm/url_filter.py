@@ -1,7 +1,7 @@
 """URL filter: a bit-parallel wildcard automaton over canonical URLs.
 
 Every glob rule owns a run of bits in a multiword Shift-And mask: one bit per literal character or `?`, and a self-loop
-where a `*` stands. One pass over a URL's bytes simulates all rules at once; a batch of URLs advances together, one byte
+where a `*` stands; the `*` before the host of a site rule stops at the first `/`. One pass over a URL's bytes simulates all rules at once; a batch of URLs advances together, one byte
 position at a time, on arrays of 64-bit words.
 
 Defined results: a null URL or one without `://` has an empty host and path and matches only rules that match the empty
@@ -49,16 +49,19 @@ BLOCK_GLOBS = ("*casino*", "*porn*", "*xxx*", "*viagra*", "*betting*", "*escort*
 
 
 class Automaton:
-    """Globs packed into words of 64 bits. A glob is cut at each `*`; `?` stands for one byte."""
+    """Globs packed into words of 64 bits. A glob is cut at each `*`; `?` stands for one byte. A leading `*` of the first `in_host` globs runs over a host only, so not over `/`."""
 
-    def __init__(self, globs: list[str] | tuple[str, ...]):
+    def __init__(self, globs: list[str] | tuple[str, ...], in_host: int = 0):
         states: list[tuple[int, bool]] = []  # a byte or -1 for any; whether this state loops on every byte
         self.final, self.empty, entry, self.loops_final = [], [], [], []
-        for g in globs:
+        hosts = set()  # states whose loop ends with the host
+        for k, g in enumerate(globs):
             raw, start = g.encode(), len(states)
             lead, loop = raw.startswith(b"*"), False
             states.append((-2, lead))  # the state before any byte
             entry.append(start)
+            if k < in_host:
+                hosts.add(start)
             for b in raw:
                 if b == 0x2A:
                     states[-1] = (states[-1][0], True)
@@ -67,7 +70,7 @@ class Automaton:
             self.final.append(len(states) - 1)
         self.words = -(-len(states) // 64)
         self.step = np.zeros((256, self.words), np.uint64)
-        self.loop, self.start = np.zeros(self.words, np.uint64), np.zeros(self.words, np.uint64)
+        self.loop, self.start = np.zeros((256, self.words), np.uint64), np.zeros(self.words, np.uint64)
         for i, (b, loop) in enumerate(states):
             bit = np.uint64(1 << (i % 64))
             if b >= 0:
@@ -75,7 +78,9 @@ class Automaton:
             elif b == -1:
                 self.step[:, i // 64] |= bit
             if loop:
-                self.loop[i // 64] |= bit
+                self.loop[:, i // 64] |= bit
+            if i in hosts:
+                self.loop[0x2F, i // 64] &= ~bit
         for i in entry:
             self.start[i // 64] |= np.uint64(1 << (i % 64))
 
@@ -92,7 +97,8 @@ class Automaton:
             now = state[:live]
             moved = now << one
             moved[:, 1:] |= now[:, :-1] >> carry
-            state[:live] = (moved & self.step[buf[at[:live] + i]]) | (now & self.loop)
+            byte = buf[at[:live] + i]
+            state[:live] = (moved & self.step[byte]) | (now & self.loop[byte])
         out = np.empty((len(order), len(self.final)), bool)
         for k, f in enumerate(self.final):
             out[order, k] = (state[:, f // 64] >> np.uint64(f % 64)) & one == one
@@ -113,7 +119,7 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[SiteRule, ...] = SITE
     """pages with `_u_host`, `_u_path`, `_u_rule` (the longest that fits, else null) and `_u_verdict`."""
     ranked = sorted(rules, key=lambda r: -len(r.name))
     globs = [g for r in ranked for g in r.globs()] + list(block)
-    automaton, sites = Automaton(globs), len(ranked)
+    automaton, sites = Automaton(globs, 2 * len(ranked)), len(ranked)
     names, verdicts = [r.name for r in ranked], [r.verdict for r in ranked]
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
