@@ -40,3 +40,16 @@ def test_long_item_in_long_text(spark):
     doc = [*text(rng, 2000), *item[100:160], *text(rng, 2000)]
     got = C.leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].same >= 40 and 1990 <= got[0].start <= 2064
+
+
+def test_whole_stretch_of_a_long_item(spark):
+    """A long item copied whole is one stretch, also over a part where substituted words leave no seed."""
+    rng = random.Random(6)
+    item, other = text(rng, 500), [f"v{i}" for i in range(300)]
+    copy = list(other)
+    for at in range(100, 240, 4):
+        copy[at] = "changed"
+    docs = [(1, " ".join([*text(rng, 333), *item, *text(rng, 100)])), (2, " ".join([*text(rng, 70), *copy])), (None, " ".join(item[200:]))]
+    items = [(7, " ".join(item)), (8, " ".join(other))]
+    got = C.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.length, r.same) for r in got} == {(1, 7, 333, 500, 500), (2, 8, 70, 300, 265), (None, 7, 0, 300, 300)}

@@ -2,15 +2,15 @@
 
 A mask of `SPAN` token positions keeps some and ignores the others, so two passages with a substituted token still agree
 under a mask that skips it. Every masked position of the benchmark is hashed, every masked position of the corpus likewise;
-equal hashes are hits. Around each hit the two texts are laid side by side without gaps and the stretch that scores best
+equal hashes are hits. On the diagonal of each hit the two whole texts are laid side by side without gaps and the stretch that scores best
 (+1 for an equal token, -MISMATCH for a substituted one) is taken; it is a leak if it has LEAST equal tokens or more, or
 covers a shorter item entirely, and the share of equal tokens in it is SHARE or more.
 
 Tokens are runs of ASCII letters and digits and of bytes above 127 in the lower-cased text; all else separates.
 
 The corpus side passes a bit table of the benchmark's hashes first; its size is a parameter, whatever the benchmark's size,
-and it only saves rows: what passes by chance fails in the join. Blocks of CONTEXT positions with a hit go along with their
-surroundings, so whole documents are not shuffled. Hits of one block and item on one diagonal are one candidate.
+and it only saves rows: what passes by chance fails in the join. Hits of one text and item on one diagonal are one candidate.
+Texts with candidates are read a second time, and each candidate's window, as long as the item, is compared with the item.
 
 Defined results: items of fewer tokens than the shortest mask covers (7) have no seed and are never found; null and empty texts and items have no tokens and give no rows; copies give a row each, equal rows one; ties in the best
 stretch go to the first; very long texts are read whole; an empty table on either side gives an empty table. Other columns
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, powers, slabs, span_hashes, spans, stash, text_buffers, tidy
 
 #: Masks over SPAN positions (1: the token counts). Each has weight 7.
 MASKS = ("11101001011", "11010110101", "10111010101", "11111110000")
-LEAST, SHARE, MISMATCH, CONTEXT = 12, 0.75, 2, 64
+LEAST, SHARE, MISMATCH = 12, 0.75, 2
 
 SEPARATES = np.ones(256, bool)
 SEPARATES[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -61,8 +61,8 @@ def masked(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
-def _seeds(masks: tuple[str, ...], context: int, table: np.ndarray | None):
-    """Rows of (seed, row, id, at) for hits, and of (row, id, at, near, n) with seed null for each block of `context` positions that has a hit: its tokens and `context` more each way, and the text's number of tokens."""
+def _seeds(masks: tuple[str, ...], table: np.ndarray | None):
+    """Rows of (seed, row, id, at) for each masked position that the table lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,21 +78,13 @@ def _seeds(masks: tuple[str, ...], context: int, table: np.ndarray | None):
                 at = np.flatnonzero(good)
                 found.append((seed[at], at))
             seed, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            begin = first[:-1][text[at]]
-            block = np.unique(np.stack([text[at], (at - begin) // context]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            base = first[:-1][block[0]] + block[1] * context
-            lo, hi = np.maximum(first[:-1][block[0]], base - context), np.minimum(first[1:][block[0]], base + 2 * context)
-            raw = words.tobytes()
-            near = [None] * len(seed) + [raw[8 * i : 8 * j] for i, j in zip(lo.tolist(), hi.tolist())]
-            owner = np.concatenate([text[at], block[0]]).astype(np.int64)
-            seeds = pa.array(np.concatenate([seed.view(np.int64), np.zeros(len(base), np.int64)]), mask=np.arange(len(near)) >= len(seed))
-            where = np.concatenate([at - begin, block[1]])
-            yield pa.RecordBatch.from_arrays([seeds, pa.array(rows[owner], pa.int64()), ids.take(pa.array(owner)), pa.array(where, pa.int64()), pa.array(near, pa.binary()), pa.array(np.diff(first)[owner], pa.int64())], names=["seed", "row", "id", "at", "near", "n"])
+            owner = text[at].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(rows[owner], pa.int64()), ids.take(pa.array(owner)), pa.array(at - first[:-1][owner], pa.int64())], names=["seed", "row", "id", "at"])
 
     return tidy(run)
 
 
-_SEEDS = "seed long, row long, id long, at long, near binary, n long"
+_SEEDS = "seed long, row long, id long, at long"
 #: A seed sets two bits of the table: one by its upper bits, one by its lower.
 MOST_BITS = 26
 
@@ -125,47 +117,83 @@ def best_stretch(equal: np.ndarray, mismatch: int) -> tuple[int, int]:
     return int(np.argmin(total[:stop])), stop
 
 
-def _verify(context: int, least: int, share: float, mismatch: int):
+#: Bytes of windows that are held at once, about.
+WINDOWS = 8 << 20
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, words, n): the tokens of each item."""
+    for batch in batches:
+        words, first = tokens(batch.column("text"))
+        raw = words.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()), pa.array(np.diff(first), pa.int64())], names=["row", "words", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (item_row, item_id, item_n, diagonal) met by a text: the tokens of the text beside the item."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["row", "id", "item_row", "item_id", "diagonal", "near"]
+    for batch in batches:
+        out, held = [], 0
+        for t in range(len(batch)):
+            words, _ = tokens(batch.column("text").slice(t, 1))
+            row, id = batch.column("row")[t].as_py(), batch.column("id")[t].as_py()
+            for m in batch.column("met")[t]:
+                m = m.as_py()
+                near = words[max(0, m["diagonal"]) : max(0, m["diagonal"] + m["item_n"])].tobytes()
+                out.append((row, id, m["item_row"], m["item_id"], m["diagonal"], near))
+                held += len(near)
+                if held > WINDOWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def _verify(least: int, share: float, mismatch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                doc, item = np.frombuffer(r["near"], np.uint64), np.frombuffer(r["item_near"], np.uint64)
-                base, item_base = max(0, (r["block"] - 1) * context), max(0, (r["item_block"] - 1) * context)
-                shift = (r["at"] - base) - (r["item_at"] - item_base)
-                i, j = max(0, shift), max(0, -shift)
-                m = min(len(doc) - i, len(item) - j)
-                equal = doc[i : i + m] == item[j : j + m]
+            columns = [batch.column(c) for c in ("row", "id", "item_id", "diagonal", "near", "words")]
+            for row, id, item_id, diagonal, near, words in zip(*columns):
+                doc, item, diagonal = np.frombuffer(near.as_py(), np.uint64), np.frombuffer(words.as_py(), np.uint64), diagonal.as_py()
+                j = max(0, -diagonal)
+                equal = doc == item[j : j + len(doc)]
                 lo, hi = best_stretch(equal, mismatch)
                 same = int(equal[lo:hi].sum())
-                if same >= min(least, r["item_n"]) and same >= share * (hi - lo):
-                    out.append((r["id"], r["item_id"], base + i + lo, hi - lo, same))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item_id", "start", "length", "same"])
+                if same >= min(least, len(item)) and same >= share * (hi - lo):
+                    out.append((row.as_py(), id.as_py(), item_id.as_py(), max(0, diagonal) + lo, hi - lo, same))
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "id", "item_id", "start", "length", "same"])
 
     return tidy(run)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """One row per document and benchmark item that leaked into it: id, item_id, start, length (tokens of the longest stretch), same (equal tokens there)."""
+def row_key(id: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: str, item_text: str, masks: tuple[str, ...], least: int, share: float) -> DataFrame:
+    """(row, id, item_id, start, length, same) for each diagonal on which a text and an item have a leak; row is the text's row_key."""
 
     def side(df: DataFrame, key: str, body: str) -> DataFrame:
-        own = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{body}`").cast("string").alias("text"))
-        return own.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-
-    def parts(seeds: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-        hits = seeds.where("seed is not null").select("seed", *[F.col(c).alias(prefix + c) for c in ("row", "id", "at")])
-        blocks = seeds.where("seed is null").groupBy(F.col("row").alias(prefix + "row"), F.col("at").alias(prefix + "block")).agg(F.first("near").alias(prefix + "near"), F.first("n").alias(prefix + "n"))
-        return hits, blocks
-
-    test = stash(side(benchmark, item_id, item_text).mapInArrow(_seeds(masks, CONTEXT, None), _SEEDS), "test-seeds")
-    table = bit_table(test.where("seed is not null").select("seed"))
-    corpus = stash(side(docs, id, text).mapInArrow(_seeds(masks, CONTEXT, table), _SEEDS), "corpus-seeds")
-    (hits, blocks), (item_hits, item_blocks) = parts(corpus, ""), parts(test, "item_")
-    block = lambda c: F.floor(F.col(c) / CONTEXT).cast("long")
-    met = hits.join(item_hits, "seed").groupBy("row", "id", "item_row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), block("at").alias("block")).agg(F.min("at").alias("at"))
-    met = met.withColumn("item_at", F.col("at") - F.col("diagonal")).withColumn("item_block", block("item_at"))
-    laid = met.join(blocks, ["row", "block"]).join(item_blocks, ["item_row", "item_block"])
-    found = laid.select("id", "item_id", "at", "block", "near", "item_at", "item_block", "item_near", "item_n").mapInArrow(_verify(CONTEXT, least, share, MISMATCH), "id long, item_id long, start long, length long, same long")
+        return df.select(row_key(key, body).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{body}`").cast("string").alias("text"))
+
+    items, texts = side(benchmark, item_id, item_text), side(docs, id, text)
+    test = stash(items.mapInArrow(_seeds(masks, None), _SEEDS), "test-seeds")
+    corpus = stash(texts.mapInArrow(_seeds(masks, bit_table(test.select("seed"))), _SEEDS), "corpus-seeds")
+    words = stash(items.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(_words), "row long, words binary, n long"), "items")
+    item_hits = test.select("seed", *[F.col(c).alias("item_" + c) for c in ("row", "id", "at")])
+    met = corpus.join(item_hits, "seed").select("row", "item_row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    met = met.join(words.select(F.col("row").alias("item_row"), F.col("n").alias("item_n")), "item_row")
+    met = stash(met.groupBy("row").agg(F.collect_list(F.struct("item_row", "item_id", "item_n", "diagonal")).alias("met")), "met")
+    near = texts.join(met, "row").mapInArrow(tidy(_windows), "row long, id long, item_row long, item_id long, diagonal long, near binary")
+    laid = near.join(words.select(F.col("row").alias("item_row"), "words"), "item_row")
+    return laid.select("row", "id", "item_id", "diagonal", "near", "words").mapInArrow(_verify(least, share, MISMATCH), "row long, id long, item_id long, start long, length long, same long")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """One row per document and benchmark item that leaked into it: id, item_id, start, length (tokens of the longest stretch), same (equal tokens there)."""
+    found = _found(docs, benchmark, id, text, item_id, item_text, masks, least, share)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("same", (-F.col("start")).alias("back"), "length")).alias("m"))
     return best.select(F.col("id").alias(id), "item_id", (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"), F.col("m.same").alias("same"))
