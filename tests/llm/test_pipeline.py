@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -37,3 +38,25 @@ def test_each_stage_against_its_own_rule(spark):
     want = {r.own.doc_id: r.kept_text for r in substring_dedup.dedupe(near).collect()}
     assert all(r.text.split() == want[r.doc_id].split() and r.n_chars == len(r.text) for r in passages)
     assert P.run(spark, DATA).count() > 0
+
+
+def texts_of(rng, n, words=60):
+    return [" ".join(f"w{rng.randrange(5000)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_rows_without_id_keep_one_of_each_class(spark):
+    """Unique documents without id stay, and a copy without id does not take the others of its class with it."""
+    texts = texts_of(random.Random(11), 20)
+    rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts[:12])] + [(100 + i, t) for i, t in enumerate(texts[:6])]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), DATA).collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+    assert {r.text: r.doc_id for r in got} == {t: i if i < 12 else None for i, t in enumerate(texts)}
+
+
+def test_leaks_of_rows_without_id(spark, tmp_path):
+    """Of rows that share an id, or have none, only those with a leak go."""
+    a, b, c, d = texts_of(random.Random(12), 4)
+    spark.createDataFrame([(1, a), (2, b)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, c), (5, b), (5, d)]
+    got = P.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == sorted([c, d])

@@ -197,3 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     found = _found(docs, benchmark, id, text, item_id, item_text, masks, least, share)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("same", (-F.col("start")).alias("back"), "length")).alias("m"))
     return best.select(F.col("id").alias(id), "item_id", (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"), F.col("m.same").alias("same"))
+
+
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row_key of each text that a benchmark item leaked into: rows without id, or with one id, are told apart."""
+    return _found(docs, benchmark, id, text, "item_id", "text", MASKS, LEAST, SHARE).select("row").distinct()

@@ -212,8 +212,8 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id) for each row of docs."""
+def _labelled(docs: DataFrame, id: str, text: str, k: int, least: float, bands: int, rows: int) -> DataFrame:
+    """(own_id, h1, h2, class_id) for each row of docs; h1 and h2 are hashes of its text."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{id}`").alias("own_id"), body.alias("text")).select("own_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     own = own.select("own_id", F.coalesce(F.col("own_id").cast("long"), "h2").alias("id"), "h1", "h2", "text")
@@ -248,4 +248,20 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WO
     found = stash(cells.select("cell", "node", "label", "side", "text").mapInArrow(_across(k, least), "a long, b long"), "links")
     labels = components(links.unionByName(found))
     known = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    return own.select("own_id", "h1", "h2").join(known, ["h1", "h2"]).select(F.col("own_id").alias(id), "class_id")
+    return own.select("own_id", "h1", "h2").join(known, ["h1", "h2"])
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, class_id) for each row of docs."""
+    return _labelled(docs, id, text, k, least, bands, rows).select(F.col("own_id").alias(id), "class_id")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of docs that stays of each class: the one with the least id, a row without id only where none has one."""
+    rows = _labelled(docs.select(id, text), id, text, WORDS, SIMILARITY, BANDS, ROWS)
+    copies = rows.groupBy("class_id", "own_id", "h1", "h2").agg(F.count("*").alias("copies"))
+    first = copies.groupBy("class_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "h1", "h2", "copies")).alias("m"))
+    kept = stash(first.select(*[F.col(f"m.{c}").alias(f"_n_{c}") for c in ("own_id", "h1", "h2", "copies")]), "kept")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    met = (F.xxhash64(body) == F.col("_n_h1")) & (F.xxhash64(F.lit(1), body) == F.col("_n_h2")) & F.col(f"`{id}`").eqNullSafe(F.col("_n_own_id"))
+    return docs.join(kept, met, "left_semi")
