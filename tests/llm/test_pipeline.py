@@ -60,3 +60,12 @@ def test_leaks_of_rows_without_id(spark, tmp_path):
     rows = [(None, a), (None, c), (5, b), (5, d)]
     got = P.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).collect()
     assert sorted(r.text for r in got) == sorted([c, d])
+
+
+def test_repeated_rows_keep_their_text(spark):
+    """Of equal rows one stays, and the passages of its text are not repeats."""
+    a, b, c = texts_of(random.Random(13), 3)
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (2, a, "s"), (3, b, "s"), (None, c, "s"), (None, c, "s")]
+    near = stash(P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), DATA), "near")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(1, a), (3, b), (None, c)], key=str)
+    assert sorted(r.text for r in P.repeated_passages(spark, near, DATA).collect()) == sorted([a, b, c])

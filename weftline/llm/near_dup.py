@@ -257,11 +257,14 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = WO
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of docs that stays of each class: the one with the least id, a row without id only where none has one."""
+    """Exactly one row of docs for each class: the one with the least id, a row without id only where none has one."""
     rows = _labelled(docs.select(id, text), id, text, WORDS, SIMILARITY, BANDS, ROWS)
     copies = rows.groupBy("class_id", "own_id", "h1", "h2").agg(F.count("*").alias("copies"))
     first = copies.groupBy("class_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "h1", "h2", "copies")).alias("m"))
     kept = stash(first.select(*[F.col(f"m.{c}").alias(f"_n_{c}") for c in ("own_id", "h1", "h2", "copies")]), "kept")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     met = (F.xxhash64(body) == F.col("_n_h1")) & (F.xxhash64(F.lit(1), body) == F.col("_n_h2")) & F.col(f"`{id}`").eqNullSafe(F.col("_n_own_id"))
-    return docs.join(kept, met, "left_semi")
+    single = docs.join(kept.where("_n_copies = 1"), met, "left_semi")
+    # rows with equal id and text, which may differ elsewhere
+    again = docs.join(kept.where("_n_copies > 1"), met).groupBy("_n_own_id", "_n_h1", "_n_h2").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("m"))
+    return single.unionByName(again.select("m.*"))
