@@ -253,3 +253,9 @@ def test_changes(spark):
     reg = lambda rows: spark.createDataFrame(rows, "key string, updated string, attrs map<string,string>")
     out = {r.key: (r.updated, r.attrs) for r in changes.upsert(reg([("k", "1", {"docs": "true"}), ("o", "0", {})]), reg([("k", "2", {"n": "5"}), ("z", "3", {})]), {"docs": "false", "wp": "false"}).collect()}
     assert out == {"k": ("2", {"docs": "true", "wp": "false", "n": "5"}), "o": ("0", {}), "z": ("3", {"docs": "false", "wp": "false"})}
+
+
+def test_reachable_over_a_long_chain(spark):
+    edges = spark.createDataFrame([("a", f"u{i}", f"u{i + 1}") for i in range(23)], "site string, from_url string, to_url string")
+    starts = spark.createDataFrame([("a", "u0")], "site string, url string")
+    assert {r.url: r.steps for r in audit.reachable(edges, starts).collect()} == {f"u{i}": i for i in range(24)}

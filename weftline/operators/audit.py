@@ -114,11 +114,13 @@ def counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("site", "kind").agg(F.count("*").alias("n"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 20) -> DataFrame:
-    """(site, url, steps): URLs that links lead to from the starts, with the least number of steps. Each round joins only what the last one reached."""
+def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """(site, url, steps): URLs that links lead to from the starts, with the least number of steps, up to most_steps if that is given. Each round joins only what the last one reached."""
     seen = written(starts.select("site", "url").distinct().withColumn("steps", F.lit(0)), "reached")
     last = seen
-    for step in range(1, most_steps + 1):
+    step = 0
+    while most_steps is None or step < most_steps:
+        step += 1
         to = last.join(edges.select("site", F.col("from_url").alias("url"), "to_url"), ["site", "url"]).select("site", F.col("to_url").alias("url")).distinct()
         last = written(to.join(seen, ["site", "url"], "left_anti").withColumn("steps", F.lit(step)), "reached")
         if last.isEmpty():
