@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,25 +19,36 @@ BYTES_AT_ONCE = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/weftline-checkpoints"
+    """The shared folder the cluster names. Where none is named, a local one does for a local master only: executors elsewhere would write to their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"file://{tempfile.gettempdir()}/weftline-checkpoints"
 
 
 #: Whole texts travel in Arrow batches, so these hold fewer rows than by default.
 STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_LOCK, _ENTERED = threading.Lock(), {}  # sessions inside step_settings: how often, and the settings before
 
 
 @contextlib.contextmanager
 def step_settings(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the writes inside are removed when each write ends, so that disk holds one step at a time; Arrow batches are small."""
-    before = {k: spark.conf.get(k, None) for k in STEP}
-    for k, v in STEP.items():
-        spark.conf.set(k, v)
+    """Shuffle files of the writes inside are removed when each write ends, so that disk holds one step at a time; Arrow batches are small. Queries that run at once share the settings: the last one to leave restores them."""
+    with _LOCK:
+        times, before = _ENTERED.get(id(spark), (0, {k: spark.conf.get(k, None) for k in STEP}))
+        _ENTERED[id(spark)] = (times + 1, before)
+        for k, v in STEP.items():
+            spark.conf.set(k, v)
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _LOCK:
+            times, before = _ENTERED.pop(id(spark))
+            if times > 1:
+                _ENTERED[id(spark)] = (times - 1, before)
+            else:
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def tidy(run: Callable) -> Callable:
@@ -59,7 +71,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     with step_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that no plan reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stashed)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
