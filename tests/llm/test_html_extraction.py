@@ -61,3 +61,59 @@ def test_borders_make_no_difference(spark):
 
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_long_alignment_in_bounded_memory(monkeypatch):
+    """Halved alignments are as long as whole ones."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(30))] for _ in range(2))
+        monkeypatch.setattr(H, "CELLS", 1 << 26)
+        whole = H.aligned(a, b)
+        monkeypatch.setattr(H, "CELLS", 8)
+        halved = H.aligned(a, b)
+        assert len(halved) == len(whole) and all(a[i] == b[j] for i, j in halved)
+        assert halved == sorted(halved) and len({i for i, _ in halved}) == len({j for _, j in halved}) == len(halved)
+
+
+def pages_of(spark, *htmls, url="http://h/{}"):
+    rows = [(i, url.format(i), h, "clash") for i, h in enumerate(htmls)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, lines string")
+    return [r.text for r in sorted(H.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_site_wide_lines_inside_articles(spark):
+    """Lines of links that the neighbour's article has too go; sentences that articles share, and links of one article only, stay."""
+    page = lambda own: f'<article><p><a href="/t">Top story of the week</a></p><p>{own}</p><p>A quoted sentence.</p><p><a href="/x">See {own[:3]}</a></p></article>'
+    assert pages_of(spark, page("One is the first text"), page("Two were another one")) == ["One is the first text A quoted sentence. See One", "Two were another one A quoted sentence. See Two"]
+
+
+def test_short_page_beside_a_long_menu(spark):
+    """The share of a page that is shared does not matter."""
+    menu = "".join(f"<div>Site menu entry number {i} shared by every page</div>" for i in range(40))
+    assert pages_of(spark, f"{menu}<p>Rain tomorrow.</p>", f"{menu}<p>Prices fell again.</p>") == ["Rain tomorrow.", "Prices fell again."]
+
+
+def test_near_copies_keep_their_lines(spark):
+    """A neighbour that differs in a few words is a copy: the one on the other side is taken."""
+    body = [f"Sentence {i} of an article on subject {i * i}." for i in range(20)]
+    page = lambda lines: "<div>Menu</div>" + "".join(f"<p>{x}</p>" for x in lines) + "<div>Imprint</div>"
+    changed = [*body[:9], body[9].replace("article", "essay"), *body[10:]]
+    other = [f"Line {i} on a matter that is unlike." for i in range(9)]
+    got = pages_of(spark, page(body), page(changed), page(other))
+    assert got == ["Menu " + " ".join(body) + " Imprint", " ".join(changed), " ".join(other)]
+
+
+def test_class_words_inside_articles(spark):
+    page = '<article><p class="share-price">Share price rose.</p><p class="reply">He replied.</p><div class="share-buttons">Share</div><div class="related">More</div><ul class="comment-list"><li>first!</ul></article>'
+    assert pages_of(spark, page) == ["Share price rose. He replied."]
+
+
+def test_odd_rows(spark):
+    """String ids, repeated rows, one URL for all pages, and a very long page."""
+    long = "".join(f"<p>line {i % 977} {i}</p>" for i in range(30000))
+    rows = [("a", "http://h/", long), ("b", "http://h/", "<p>x"), ("b", "http://h/", "<p>x"), (None, None, None), (None, "http://h/", "<p>line 0 0</p><p>y")]
+    got = sorted(((r.page_id or "", r.n_chars) for r in H.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()))
+    assert [n for _, n in got if n < 100] == [0, 1, 1, 1] and len(got) == 5
