@@ -53,3 +53,61 @@ def test_whole_stretch_of_a_long_item(spark):
     items = [(7, " ".join(item)), (8, " ".join(other))]
     got = C.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id, r.start, r.length, r.same) for r in got} == {(1, 7, 333, 500, 500), (2, 8, 70, 300, 265), (None, 7, 0, 300, 300)}
+
+
+def brute(docs, items, least=C.LEAST, share=C.SHARE, shortest=C.SHORTEST):
+    """The best stretch over all diagonals that a seed hits, from token lists."""
+    out = {}
+    for i, d in docs:
+        for k, t in items:
+            found = []
+            for shift in range(1 - len(t), len(d)):
+                pairs = [(j, d[j + shift] == t[j]) for j in range(max(0, -shift), min(len(t), len(d) - shift))]
+                seed = any(all(0 <= j + o < len(t) and 0 <= j + o + shift < len(d) and t[j + o] == d[j + o + shift] for o, b in enumerate(m) if b == "1") for j, _ in pairs for m in C.MASKS)
+                if not seed and not (len(t) < 7 and len(pairs) == len(t) and all(e for _, e in pairs)) or len(t) < shortest:
+                    continue
+                best = None
+                for a in range(len(pairs)):
+                    score = 0
+                    for b in range(a, len(pairs)):
+                        score += 1 if pairs[b][1] else -C.MISMATCH
+                        if best is None or (score, -b, -a) > best[0]:
+                            best = (score, -b, -a), a, b + 1
+                _, a, b = best
+                same = sum(e for _, e in pairs[a:b])
+                if same >= min(least, len(t)) and same >= share * (b - a):
+                    found.append((same, -(pairs[a][0] + shift), b - a))
+            if found:
+                same, start, length = max(found)
+                out[i, k] = (-start, length, same)
+    return out
+
+
+def test_items_of_all_lengths(spark):
+    """Short, middling and long items, whole, cut and with substitutions, against brute force; ids are strings."""
+    rng = random.Random(21)
+    items = [(f"i{n}", text(rng, n)) for n in (1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13, 16, 30)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        for changes in (0, 0, 1, 2):
+            copy = list(t)
+            for at in rng.sample(range(len(copy)), min(changes, len(copy))):
+                copy[at] = "changed"
+            docs.append((f"d{len(docs)}", [*text(rng, rng.randrange(0, 12)), *copy[rng.randrange(2) * (len(copy) > 13) :], *text(rng, rng.randrange(0, 12))]))
+        docs.append((f"d{len(docs)}", [*t, "between", *t]))
+    got = C.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id string, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.start, r.length, r.same) for r in got} == brute(docs, items)
+
+
+def test_very_long_items(spark):
+    rng = random.Random(22)
+    items = [(n, text(rng, n)) for n in (200, 700, 2000)]
+    docs, want = [], set()
+    for n, t in items:
+        copy = list(t)
+        for at in range(7, n - 7, 23):
+            copy[at] = "changed"
+        docs.append((n, " ".join([*text(rng, 150), *copy, *text(rng, 90)])))
+        want.add((n, n, 150, n, n - len(range(7, n - 7, 23))))
+    got = C.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.length, r.same) for r in got} == want

@@ -12,9 +12,13 @@ The corpus side passes a bit table of the benchmark's hashes first; its size is
 and it only saves rows: what passes by chance fails in the join. Hits of one text and item on one diagonal are one candidate.
 Texts with candidates are read a second time, and each candidate's window, as long as the item, is compared with the item.
 
-Defined results: items of fewer tokens than the shortest mask covers (7) have no seed and are never found; null and empty texts and items have no tokens and give no rows; copies give a row each, equal rows one; ties in the best
-stretch go to the first; very long texts are read whole; an empty table on either side gives an empty table. Other columns
-are not read, so their names cannot clash.
+Items of under LEAST tokens are leaks only where they stand whole and unchanged. Those that no mask fits into (under 7
+tokens) are sought by one more mask for each such length, which keeps all positions.
+
+Defined results: items of under SHORTEST tokens give no rows, since one or two words prove no leak; null and empty texts and
+items have no tokens and give no rows; copies give a row each, equal rows one; ties in the best stretch go to the first, ties
+of equal stretches to the one that starts first; very long texts are read whole; ids may be of any type that sorts, and null;
+an empty table on either side gives an empty table. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix, powers, slabs, span_hashes, spans, stash, text_buffers, tidy
+from .common import discard, mix, powers, slabs, span_hashes, spans, stash, text_buffers, tidy
 
 #: Masks over SPAN positions (1: the token counts). Each has weight 7.
 MASKS = ("11101001011", "11010110101", "10111010101", "11111110000")
 LEAST, SHARE, MISMATCH = 12, 0.75, 2
+#: Items of fewer tokens are no passages.
+SHORTEST = 3
 
 SEPARATES = np.ones(256, bool)
 SEPARATES[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -61,30 +68,32 @@ def masked(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
-def _seeds(masks: tuple[str, ...], table: np.ndarray | None):
-    """Rows of (seed, row, id, at) for each masked position that the table lets pass."""
+def _seeds(masks: tuple[str, ...], whole: list[int], table: np.ndarray | None):
+    """Rows of (seed, row, at) for each masked position that the table lets pass; `whole`: lengths of items that are sought whole. Without a table the rows are items: those lengths hold for items of this length only."""
+    lengths = {len(mask): mask for mask in ("1" * n for n in whole)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = tokens(batch.column("text"))
-            rows, ids = batch.column("row").to_numpy(zero_copy_only=False), batch.column("id")
-            text = np.repeat(np.arange(len(ids)), np.diff(first))
-            found = []
-            for number, mask in enumerate(masks):
+            rows, n = batch.column("row").to_numpy(zero_copy_only=False), np.diff(first)
+            text, found = np.repeat(np.arange(len(n)), n), []
+            for number, mask in [*enumerate(masks), *((len(masks) + n, mask) for n, mask in lengths.items())]:
                 seed = masked(words, mask, number)
                 good = np.arange(len(seed)) + len(mask.rstrip("0")) <= first[1:][text]
                 if table is not None:
                     good &= probe(table, seed)
+                elif number >= len(masks):
+                    good &= n[text] == len(mask)
                 at = np.flatnonzero(good)
                 found.append((seed[at], at))
             seed, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             owner = text[at].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(rows[owner], pa.int64()), ids.take(pa.array(owner)), pa.array(at - first[:-1][owner], pa.int64())], names=["seed", "row", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(rows[owner], pa.int64()), pa.array(at - first[:-1][owner], pa.int64())], names=["seed", "row", "at"])
 
     return tidy(run)
 
 
-_SEEDS = "seed long, row long, id long, at long"
+_SEEDS = "seed long, row long, at long"
 #: A seed sets two bits of the table: one by its upper bits, one by its lower.
 MOST_BITS = 26
 
@@ -130,75 +139,85 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (item_row, item_id, item_n, diagonal) met by a text: the tokens of the text beside the item."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["row", "id", "item_row", "item_id", "diagonal", "near"]
+    """For each (item_row, item_n, diagonal) met by a text: the tokens of the text beside the item."""
+
+    def laid(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        at, item_row, diagonal, near = zip(*out)
+        columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("row", "id")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(item_row, pa.int64()), pa.array(diagonal, pa.int64()), pa.array(near, pa.binary())], names=["row", "id", "item_row", "diagonal", "near"])
+
     for batch in batches:
         out, held = [], 0
         for t in range(len(batch)):
             words, _ = tokens(batch.column("text").slice(t, 1))
-            row, id = batch.column("row")[t].as_py(), batch.column("id")[t].as_py()
             for m in batch.column("met")[t]:
                 m = m.as_py()
                 near = words[max(0, m["diagonal"]) : max(0, m["diagonal"] + m["item_n"])].tobytes()
-                out.append((row, id, m["item_row"], m["item_id"], m["diagonal"], near))
+                out.append((t, m["item_row"], m["diagonal"], near))
                 held += len(near)
                 if held > WINDOWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    yield laid(batch, out)
                     out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            yield laid(batch, out)
 
 
 def _verify(least: int, share: float, mismatch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch.column(c) for c in ("row", "id", "item_id", "diagonal", "near", "words")]
-            for row, id, item_id, diagonal, near, words in zip(*columns):
-                doc, item, diagonal = np.frombuffer(near.as_py(), np.uint64), np.frombuffer(words.as_py(), np.uint64), diagonal.as_py()
+            for k, (diagonal, near, words) in enumerate(zip(batch.column("diagonal").to_pylist(), batch.column("near"), batch.column("words"))):
+                doc, item = np.frombuffer(near.as_py(), np.uint64), np.frombuffer(words.as_py(), np.uint64)
                 j = max(0, -diagonal)
                 equal = doc == item[j : j + len(doc)]
                 lo, hi = best_stretch(equal, mismatch)
                 same = int(equal[lo:hi].sum())
                 if same >= min(least, len(item)) and same >= share * (hi - lo):
-                    out.append((row.as_py(), id.as_py(), item_id.as_py(), max(0, diagonal) + lo, hi - lo, same))
-            cols = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "id", "item_id", "start", "length", "same"])
+                    out.append((k, max(0, diagonal) + lo, hi - lo, same))
+            at, *found = zip(*out) if out else [()] * 4
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("row", "id", "item_row")]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in found]], names=["row", "id", "item_row", "start", "length", "same"])
 
     return tidy(run)
 
 
 def row_key(id: str, text: str) -> Column:
-    return F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string"))
+    return F.xxhash64(F.col(f"`{id}`").cast("string"), F.col(f"`{text}`").cast("string"))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: str, item_text: str, masks: tuple[str, ...], least: int, share: float) -> DataFrame:
-    """(row, id, item_id, start, length, same) for each diagonal on which a text and an item have a leak; row is the text's row_key."""
+def _found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: str, item_text: str, masks: tuple[str, ...], least: int, share: float, shortest: int) -> DataFrame:
+    """(row, id, item_row, start, length, same) for each diagonal on which a text and an item have a leak; row and item_row are row_keys."""
 
     def side(df: DataFrame, key: str, body: str) -> DataFrame:
-        return df.select(row_key(key, body).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{body}`").cast("string").alias("text"))
+        return df.select(row_key(key, body).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{body}`").cast("string").alias("text"))
 
     items, texts = side(benchmark, item_id, item_text), side(docs, id, text)
-    test = stash(items.mapInArrow(_seeds(masks, None), _SEEDS), "test-seeds")
-    corpus = stash(texts.mapInArrow(_seeds(masks, bit_table(test.select("seed"))), _SEEDS), "corpus-seeds")
-    words = stash(items.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(_words), "row long, words binary, n long"), "items")
-    item_hits = test.select("seed", *[F.col(c).alias("item_" + c) for c in ("row", "id", "at")])
-    met = corpus.join(item_hits, "seed").select("row", "item_row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    words = items.dropDuplicates(["row"]).select("row", "text").mapInArrow(tidy(_words), "row long, words binary, n long")
+    words = stash(words.where(F.col("n") >= shortest), "items")
+    fits = min(len(mask.rstrip("0")) for mask in masks)
+    whole = sorted(r["n"] for r in words.where(F.col("n") < fits).select("n").distinct().collect())
+    test = stash(items.select("row", "text").join(words.select("row"), "row", "left_semi").mapInArrow(_seeds(masks, whole, None), _SEEDS), "test-seeds")
+    corpus = stash(texts.select("row", "text").mapInArrow(_seeds(masks, whole, bit_table(test.select("seed"))), _SEEDS), "corpus-seeds")
+    item_hits = test.select("seed", F.col("row").alias("item_row"), F.col("at").alias("item_at"))
+    met = corpus.join(item_hits, "seed").select("row", "item_row", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     met = met.join(words.select(F.col("row").alias("item_row"), F.col("n").alias("item_n")), "item_row")
-    met = stash(met.groupBy("row").agg(F.collect_list(F.struct("item_row", "item_id", "item_n", "diagonal")).alias("met")), "met")
-    near = texts.join(met, "row").mapInArrow(tidy(_windows), "row long, id long, item_row long, item_id long, diagonal long, near binary")
+    met = stash(met.groupBy("row").agg(F.collect_list(F.struct("item_row", "item_n", "diagonal")).alias("met")), "met")
+    discard(test, corpus)
+    key = T.StructField("id", docs.schema[id].dataType)
+    near = texts.join(met, "row").mapInArrow(tidy(_windows), T.StructType([T.StructField("row", T.LongType()), key, *T.StructType.fromDDL("item_row long, diagonal long, near binary")]))
     laid = near.join(words.select(F.col("row").alias("item_row"), "words"), "item_row")
-    return laid.select("row", "id", "item_id", "diagonal", "near", "words").mapInArrow(_verify(least, share, MISMATCH), "row long, id long, item_id long, start long, length long, same long")
+    found = T.StructType([T.StructField("row", T.LongType()), key, *T.StructType.fromDDL("item_row long, start long, length long, same long")])
+    return laid.select("row", "id", "item_row", "diagonal", "near", "words").mapInArrow(_verify(least, share, MISMATCH), found)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """One row per document and benchmark item that leaked into it: id, item_id, start, length (tokens of the longest stretch), same (equal tokens there)."""
-    found = _found(docs, benchmark, id, text, item_id, item_text, masks, least, share)
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("same", (-F.col("start")).alias("back"), "length")).alias("m"))
+    found = _found(docs, benchmark, id, text, item_id, item_text, masks, least, share, shortest)
+    items = benchmark.select(row_key(item_id, item_text).alias("item_row"), F.col(f"`{item_id}`").alias("item_id")).distinct()
+    best = found.join(items, "item_row").groupBy("id", "item_id").agg(F.max(F.struct("same", (-F.col("start")).alias("back"), "length")).alias("m"))
     return best.select(F.col("id").alias(id), "item_id", (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"), F.col("m.same").alias("same"))
 
 
 def leaking_rows(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row_key of each text that a benchmark item leaked into: rows without id, or with one id, are told apart."""
-    return _found(docs, benchmark, id, text, "item_id", "text", MASKS, LEAST, SHARE).select("row").distinct()
+    return _found(docs, benchmark, id, text, "item_id", "text", MASKS, LEAST, SHARE, SHORTEST).select("row").distinct()

@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of those queries that SQL can express."""
 
-from .decontamination import LEAST, MASKS, MISMATCH, SHARE
+from .decontamination import LEAST, MASKS, MISMATCH, SHARE, SHORTEST
 from .near_dup import SIMILARITY, WORDS
 from .quality_rules import LineRules
 from .url_filter import BLOCK_GLOBS, SITE_RULES
@@ -57,12 +57,18 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
+#: Lengths of items that no mask fits into.
+_SHORT = range(SHORTEST, min(len(mask.rstrip("0")) for mask in MASKS))
+_masked = lambda mask: f"concat_ws(' ', {', '.join(f'ws[p + {j}]' for j, b in enumerate(mask) if b == '1')})"
+
 OP5 = f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
 tp AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM t), ip AS (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM i),
-ts AS ({" UNION ALL ".join(f"SELECT doc_id, p, {k} AS m, concat_ws(' ', {', '.join(f'ws[p + {j}]' for j, b in enumerate(mask) if b == '1')}) AS g FROM tp WHERE p + {len(mask.rstrip('0')) - 1} <= len(ws)" for k, mask in enumerate(MASKS))}),
-its AS ({" UNION ALL ".join(f"SELECT item_id, p, {k} AS m, concat_ws(' ', {', '.join(f'ws[p + {j}]' for j, b in enumerate(mask) if b == '1')}) AS g FROM ip WHERE p + {len(mask.rstrip('0')) - 1} <= len(ws)" for k, mask in enumerate(MASKS))}),
+ts AS ({" UNION ALL ".join(f"SELECT doc_id, p, {k} AS m, {_masked(mask)} AS g FROM tp WHERE p + {len(mask.rstrip('0')) - 1} <= len(ws)" for k, mask in enumerate(MASKS))}
+  {"".join(f" UNION ALL SELECT doc_id, p, {100 + n} AS m, {_masked('1' * n)} AS g FROM tp WHERE p + {n - 1} <= len(ws) AND EXISTS (SELECT 1 FROM i WHERE len(ws) = {n})" for n in _SHORT)}),
+its AS ({" UNION ALL ".join(f"SELECT item_id, p, {k} AS m, {_masked(mask)} AS g FROM ip WHERE p + {len(mask.rstrip('0')) - 1} <= len(ws)" for k, mask in enumerate(MASKS))}
+  {"".join(f" UNION ALL SELECT item_id, p, {100 + n} AS m, {_masked('1' * n)} AS g FROM ip WHERE p = 1 AND len(ws) = {n}" for n in _SHORT)}),
 c AS (SELECT DISTINCT ts.doc_id, its.item_id, ts.p - its.p AS shift FROM ts JOIN its USING (m, g)),
 a AS (SELECT doc_id, item_id, shift, j AS p, i.ws[j] = t.ws[j + shift] AS same, len(i.ws) AS n FROM
   (SELECT *, unnest(range(greatest(1, 1 - shift), least(len(i.ws), len(t.ws) - shift) + 1)) AS j FROM c JOIN t USING (doc_id) JOIN i USING (item_id)) AS x JOIN t USING (doc_id) JOIN i USING (item_id)),
