@@ -1,7 +1,9 @@
+import math
 import random
+import zlib
 from collections import Counter
 
-from weftline.llm import sharding
+from weftline.llm import queries, sharding
 
 
 def test_matrix_is_exact():
@@ -45,3 +47,33 @@ def test_shuffle_is_uniform(spark):
     assert all(abs(halves[s, True] - 500) < 80 for s in range(4))
     first = sum(r.doc_id for r in out if r["_s_slot"] < 100) / 400
     assert abs(first - 2000) < 200
+
+
+def test_probabilities_are_exact():
+    """Against exact integers: the relative error stays near that of a float for large counts too."""
+    for n, x in ((10, 0), (10, 10), (40, 7), (1000, 500), (3000, 12)):
+        want = math.log(math.comb(n, x)) + x * math.log(3 / 7) + (n - x) * math.log(4 / 7)
+        assert abs(sharding._binomial(x, n, 3 / 7, 4 / 7) - want) < 1e-10
+    good, bad, drawn = 300_000, 700_000, 200_000
+    whole = [sharding._binomial(x, good, 0.2, 0.8) + sharding._binomial(drawn - x, bad, 0.2, 0.8) - sharding._binomial(drawn, good + bad, 0.2, 0.8) for x in range(58_000, 62_001)]
+    assert abs(math.fsum(map(math.exp, whole)) - 1) < 1e-9
+
+
+def test_long_texts_odd_ids_and_equal_rows(spark):
+    rows = [(None, "x" * 200_000)] * 3 + [(10**18, None)] * 40 + [(1, "a"), (None, None)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id", "text"], 7, blocks=4, cells=3).collect()
+    assert len(out) == 45 and Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    assert sorted(Counter(r["_s_shard"] for r in out).values()) == [6, 6, 6, 6, 7, 7, 7]
+    assert sorted((r["_s_shard"], r["_s_slot"]) for r in out) == [(s, k) for s in range(7) for k in range(7 if s < 3 else 6)]
+
+
+def test_query_against_brute_force(spark, messy, tmp_path):
+    """Every column of the query: sizes and checksums by zlib, one row per document, rows at most one apart, slots without gaps."""
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_sharding(spark, str(tmp_path)).collect()
+    raw = [(r.doc_id, (r.text or "").encode()) for r in messy.collect()]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len(t) + 16, zlib.crc32(t)) for i, t in raw)
+    assert {(r.law, r.grown_shard) for r in out} == {("rows", None)}
+    held = Counter(r.shard for r in out)
+    assert set(held) <= set(range(40)) and {len(raw) // 40, -(-len(raw) // 40)} >= set(held.get(s, 0) for s in range(40))
+    assert sorted((r.shard, r.slot) for r in out) == sorted((s, k) for s, n in held.items() for k in range(n))

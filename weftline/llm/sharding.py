@@ -5,8 +5,10 @@ were permuted at random: a multivariate hypergeometric draw per block from what
 inside their block, dealt out by the matrix, and permuted again inside their shard. All rows of a shard never meet in one
 task: the second permutation works in cells of a shard, whose first slots come from the cells' counts.
 
-The main path is DataFrame functions only. The driver sees the counts of `blocks` blocks and `blocks` x shards cells, both
-numbers being parameters. Blocks and orders are functions of the rows, so a task that runs again makes the same rows.
+The main path is DataFrame functions only. Rows are dealt once and written with their shard; all counts come from that table
+and the one before it. The driver sees the counts of the blocks and of the cells; there is one block for BLOCK_ROWS rows and
+one cell for CELL_ROWS rows of a shard, so that a sort never holds more than about so many rows. Blocks and orders are
+functions of the rows, so a task that runs again makes the same rows.
 
 Defined results: null keys and texts hash as such; equal rows are interchangeable and keep their number; an empty table
 gives an empty table; extra columns are carried, own columns start with `_s_`.
@@ -22,17 +24,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCKS, CELLS = 1024, 64
+from .common import discard, stash
+
+#: Rows of a block and of a cell, about; the least number of blocks and of cells of a shard.
+BLOCK_ROWS, CELL_ROWS, BLOCKS, CELLS = 4_000_000, 1_000_000, 1024, 64
+
+
+def _rest(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        if total + term / (2 * k + 1) == total:
+            return total
+        total, k = total + term / (2 * k + 1), k + 1
+
+
+def _binomial(x: int, n: int, p: float, q: float) -> float:
+    """Logarithm of the binomial probability by its saddle point (Loader 2000): its relative error does not grow with n."""
+    if x in (0, n):
+        return n * (math.log1p(-p) if p < q else math.log(q)) if x == 0 and n else n * (math.log1p(-q) if q < p else math.log(p)) if n else 0.0
+    return _rest(n) - _rest(x) - _rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
     """Number of good ones among `drawn` of good + bad, by inversion outwards from the mode."""
-    low, high = max(0, drawn - bad), min(good, drawn)
+    low, high, total = max(0, drawn - bad), min(good, drawn), good + bad
     if low == high:
         return low
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    p = math.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn))
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    share, other = drawn / total, (total - drawn) / total
+    p = math.exp(_binomial(mode, good, share, other) + _binomial(drawn - mode, bad, share, other) - _binomial(drawn, total, share, other))
     u, up, down, at_up, at_down = rng.random() - p, p, p, mode, mode
     while u >= 0 and (at_up < high or at_down > low):
         if at_up < high:
@@ -65,24 +97,30 @@ def matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
 
 
 def shard(df: DataFrame, keys: list[str], shards: int, seed: int = 0, blocks: int = BLOCKS, cells: int = CELLS) -> DataFrame:
-    """df with `_s_shard` (sizes differ by one at most) and `_s_slot` (a random order of each shard, gapless from 0)."""
+    """df with `_s_shard` (sizes differ by one at most) and `_s_slot` (a random order of each shard, gapless from 0). df is read once; `blocks` and `cells` are the least numbers."""
     hashed = lambda salt: F.xxhash64(F.lit(f"{salt}:{seed}"), *[F.col(f"`{k}`") for k in keys])
-    rows = df.withColumns({"_s_order": hashed("first"), "_s_second": hashed("second")}).withColumn("_s_block", F.pmod(hashed("block"), F.lit(blocks)).cast("int"))
+    table = stash(df.withColumns({"_s_first": hashed("first"), "_s_second": hashed("second")}), "rows")
+    n = table.count()
+    blocks, cells = max(blocks, n // BLOCK_ROWS), max(cells, n // shards // CELL_ROWS)
+    rows = table.withColumn("_s_block", F.pmod(hashed("block"), F.lit(blocks)).cast("int"))
     counts = [0] * blocks
     for r in rows.groupBy("_s_block").count().collect():
         counts[r["_s_block"]] = r["count"]
-    n = sum(counts)
     sizes = [n // shards + (s < n % shards) for s in range(shards)]
     bounds = [list(accumulate(row)) for row in matrix(counts, sizes, seed)]
     spark = df.sparkSession
     plan = spark.createDataFrame([(b, row) for b, row in enumerate(bounds)], "_s_block int, _s_bounds array<bigint>")
-    local = Window.partitionBy("_s_block").orderBy("_s_order", "_s_second", *[F.col(f"`{k}`") for k in keys])
-    dealt = rows.withColumn("_s_rank", F.row_number().over(local)).join(F.broadcast(plan), "_s_block")
-    dealt = dealt.withColumn("_s_shard", F.size(F.filter("_s_bounds", lambda b: b < F.col("_s_rank"))))
-    dealt = dealt.withColumn("_s_cell", F.pmod(F.shiftright("_s_second", 7), F.lit(cells)).cast("int")).drop("_s_bounds")
+    local = Window.partitionBy("_s_block").orderBy("_s_first", "_s_second", *[F.col(f"`{k}`") for k in keys])
+    ranked = rows.withColumn("_s_rank", F.row_number().over(local)).join(F.broadcast(plan), "_s_block")
+    ranked = ranked.withColumn("_s_shard", F.size(F.filter("_s_bounds", lambda b: b < F.col("_s_rank"))))
+    # ranks differ inside a block, so hashing them in spreads equal rows over a shard and its cells
+    again = F.xxhash64(F.lit(f"again:{seed}"), "_s_second", "_s_block", "_s_rank")
+    ranked = ranked.withColumn("_s_again", again).withColumn("_s_cell", F.pmod(F.shiftright("_s_again", 7), F.lit(cells)).cast("int"))
+    dealt = stash(ranked.drop("_s_bounds", "_s_first", "_s_second"), "dealt")
+    discard(table)
     held = {(r["_s_shard"], r["_s_cell"]): r["count"] for r in dealt.groupBy("_s_shard", "_s_cell").count().collect()}
-    first = [(s, c, sum(held.get((s, x), 0) for x in range(c))) for s in range(shards) for c in range(cells)]
-    start = spark.createDataFrame(first, "_s_shard int, _s_cell int, _s_first bigint")
-    inner = Window.partitionBy("_s_shard", "_s_cell").orderBy("_s_second", "_s_block", "_s_rank")
+    starts = [(s, c, at) for s in range(shards) for c, at in enumerate(accumulate([held.get((s, c), 0) for c in range(cells)], initial=0)) if c < cells]
+    start = spark.createDataFrame(starts, "_s_shard int, _s_cell int, _s_start bigint")
+    inner = Window.partitionBy("_s_shard", "_s_cell").orderBy("_s_again", "_s_block", "_s_rank")
     out = dealt.withColumn("_s_in", F.row_number().over(inner)).join(F.broadcast(start), ["_s_shard", "_s_cell"])
-    return out.withColumn("_s_slot", F.col("_s_first") + F.col("_s_in") - 1).select(*[F.col(f"`{c}`") for c in df.columns], "_s_shard", "_s_slot")
+    return out.withColumn("_s_slot", F.col("_s_start") + F.col("_s_in") - 1).select(*[F.col(f"`{c}`") for c in df.columns], "_s_shard", "_s_slot")
