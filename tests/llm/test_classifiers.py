@@ -70,3 +70,42 @@ def test_neighbours_vote():
     near = np.argsort(-cosine)[:5]
     want = (cosine[near] ** 4 @ labels[near]) / (cosine[near] ** 4).sum()
     assert abs(model.score(text)[0] - want) < 1e-5
+
+
+def test_samples_are_bounded_and_distinct(spark):
+    """However often a text is repeated and however the hashes fall, a sample has so many rows at most, and no text twice."""
+    from weftline.llm.common import sampled
+
+    rows = spark.createDataFrame([("hot", 1)] * 300 + [(f"t{i}", i % 2) for i in range(200)], "text string, label int")
+    for rate, most in ((1.0, 50), (0.5, 1000), (1e-12, 50), (F.lit(1.0), 10**6)):
+        got = [(r.label, r.text) for r in sampled(rows, rate, ["label"], most).collect()]
+        assert len(got) == len(set(got)) <= min(most, 201)
+    assert sampled(rows, 1.0, ["label"], 10**6).count() == 201
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"text number {i} of language {i % 9}", f"l{i % 9}") for i in range(90)] + [("plus", "l3"), ("one more", "l4")], "text string, lang string")
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    assert L.fit(rows, "text", "lang").languages == ["l3", "l4"]
+
+
+def test_language_ties():
+    """Equal margins: the language that sorts first."""
+    model = L.Model(["a", "b", "c"], [("f", ["a", "b", "c"])], [(0, "a", "b"), (0, "a", "c"), (0, "b", "c")], np.zeros((3, L.SIZE + 1)))
+    assert model.predict(pa.array(["any text", "other"])) == (["a", "a"], [0.5, 0.5])
+
+
+def test_neighbour_ties():
+    """All neighbours as near as the last of the NEIGHBOURS vote, so their order makes no difference."""
+    one = np.zeros((K.SIZE, 2), np.float32)
+    one[:, 0] = 1
+    vectors = np.repeat(np.array([[1.0], [0.0]], np.float32), 6, 1)
+    for labels in ([1, 1, 1, 0, 0, 0], [0, 0, 0, 1, 1, 1], [1, 0, 1, 0, 1, 0]):
+        model = K.Model(one, vectors, np.array(labels, np.float32), 3, 4.0)
+        assert model.score(pa.array(["some words"])).tolist() == [0.5]
+
+
+def test_leading_vectors():
+    x = np.random.default_rng(2).normal(size=(60, 30)).astype(np.float32) @ np.diag(0.7 ** np.arange(30)).astype(np.float32)
+    want = np.linalg.svd(x)[2][:5]
+    assert np.allclose(np.abs(np.sum(K.leading(x, 5).T * want, 1)), 1, atol=1e-3)

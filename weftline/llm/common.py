@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,6 +85,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HASHES = 1 << 62
+
+
+def sampled(rows: DataFrame, rate: Column | float, by: list[str], most: int) -> DataFrame:
+    """Distinct (by, text) of rows, chosen by a hash of the text with the given rate, `most` at the most: those with the least hashes. Copies count once; what is shuffled is about `most` rows a task at worst."""
+    hashed = rows.withColumn("_hash", F.xxhash64("text").bitwiseAND(HASHES - 1)).where(F.col("_hash") < rate * F.lit(float(HASHES)))
+    distinct = hashed.groupBy(*by, "_hash").agg(F.first("text").alias("text"))
+    return distinct.orderBy("_hash", *by).limit(most).select(*by, "text")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

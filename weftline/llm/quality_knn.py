@@ -1,14 +1,14 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are hashed 1- to 4-grams of its shape (runs of lower-case letters, capitals and digits shrink to one sign,
-other characters stay) and levels of a few ratios: words equal to the last or the one before it, distinct words, words
-in capitals, length, bytes a word. Terms are
-weighted by tf-idf and projected on the leading singular vectors of the labelled sample. Every text is compared with all
-labelled vectors by cosine, in blocks: one matrix product for a block of texts. The NEIGHBOURS nearest labels (and those as
-near as the last) vote, weighted by a power of their similarity.
+A text's terms are its words and the three-letter pieces of its words (both lower-cased for ASCII and hashed to buckets), and
+its form: hashed 1- and 2-grams of its signs (runs of lower-case letters, capitals and digits shrink to one sign, other
+characters stay) and levels of a few ratios: words equal to the last or the one before it, distinct words, words
+in capitals, length, bytes a word. Terms are weighted by tf-idf and projected on the leading singular vectors of the labelled
+sample (subspace iteration). Every text is compared with all labelled vectors by cosine, in blocks: one matrix product for a
+block of texts. The NEIGHBOURS nearest labels (and those as near as the last) vote, weighted by a power of their similarity.
 
-The labelled sample is at most SAMPLE rows, chosen by a hash of the text; its vectors and the projection, of fixed size, go
-to every task. Texts are read whole.
+The labelled sample is at most SAMPLE distinct texts, chosen by a hash of the text; its vectors and the projection, of fixed
+size, go to every task. Texts are read whole.
 
 Defined results: a null text is an empty one; a text without words scores 0; without a usable label all texts score 0; a
 document with several labels brings each as a row; equal texts get equal scores; an empty table gives an empty table. Own
@@ -25,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, span_hashes, spans, text_buffers
+from .common import SPACE, sampled, slabs, span_hashes, spans, text_buffers
 
 SAMPLE, RANK, NEIGHBOURS, SHARPNESS = 6000, 48, 25, 4.0
-#: Hash buckets of the shape grams of each order; levels of each ratio and their weight as terms.
-SHAPES = (256, 512, 1024, 1024)
+#: Hash buckets of words, of pieces of words, and of the form's grams of each order, with their weights; levels of each ratio and their weight.
+WORD_TERMS, PIECES, SHAPES = 2048, 2048, (256, 512)
+WORD_WEIGHT, PIECE_WEIGHT = 1.0, 1.0
 LEVELS, RATIOS, RATIO_WEIGHT = 12, 6, 0.5
-SIZE = sum(SHAPES) + LEVELS * RATIOS
+SIZE = WORD_TERMS + PIECES + sum(SHAPES) + LEVELS * RATIOS
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x61:0x7B] = 0x61
 _SHAPE[0x80:] = 0x61
@@ -52,17 +55,30 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keep[1:] = (shape[1:] != shape[:-1]) | ~_RUNS[shape[1:]] | (text[1:] != text[:-1])
     shape, text = shape[keep].astype(np.uint32), text[keep]
     base, gram = 0, shape
+
+    def add(bucket: np.ndarray, owner: np.ndarray, size: int, weight: float = 1.0) -> None:
+        nonlocal base
+        count = np.bincount(owner * size + bucket, minlength=n * size).reshape(n, size)
+        out[:, base : base + size] = weight * np.sqrt(count / np.maximum(1, count.sum(1, keepdims=True)))
+        base += size
+
     for order, size in enumerate(SHAPES, 1):
         if order > 1:
             gram = gram[:-1] * np.uint32(0x9E3779B1) + shape[order - 1 :] * np.uint32(0x85EBCA6B)
         bucket = (shape if order == 1 else (gram * np.uint32(0xC2B2AE35)) >> np.uint32(32 - (size - 1).bit_length())).astype(np.int64)
         own = text[: len(bucket)] == text[order - 1 :]
-        count = np.bincount(text[: len(bucket)][own] * size + bucket[own], minlength=n * size).reshape(n, size)
-        out[:, base : base + size] = np.sqrt(count / np.maximum(1, count.sum(1, keepdims=True)))
-        base += size
+        add(bucket[own], text[: len(bucket)][own], size)
     starts, ends, first = spans(buf, offsets)
-    words, count = span_hashes(buf, starts, ends), np.diff(first)
+    lower = _LOWER[buf]
+    words, count = span_hashes(lower, starts, ends), np.diff(first)
     owner = np.repeat(np.arange(n), count)
+    add((words >> np.uint64(53)).astype(np.int64), owner, WORD_TERMS, WORD_WEIGHT)
+    # pieces of a word: each byte with the two before it, the space before the word among them
+    x = np.where(SPACE[lower], 0x20, lower).astype(np.uint32)
+    piece = (x[2:] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[:-2] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+    page = np.repeat(np.arange(n), np.diff(offsets))
+    inside = (page[2:] == page[:-2]) & (x[2:] != 0x20) & (x[1:-1] != 0x20)
+    add((piece[inside] >> np.uint32(21)).astype(np.int64), page[2:][inside], PIECES, PIECE_WEIGHT)
     some = np.maximum(1, count)
     same = lambda k: np.bincount(owner[k:][(words[k:] == words[:-k]) & (owner[k:] == owner[:-k])], minlength=n) / some
     distinct = np.bincount((np.unique(np.stack([owner.astype(np.uint64), words]), axis=1)[0]).astype(np.int64), minlength=n) / some if len(words) else np.zeros(n)
@@ -75,6 +91,15 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, count
 
 
+def leading(x: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from a fixed start: memory for x and a few thin matrices."""
+    rank = min(rank, *x.shape)
+    v = np.random.default_rng(0).normal(size=(x.shape[1], min(x.shape[1], rank + 16))).astype(np.float32)
+    for _ in range(rounds):
+        v = np.linalg.qr(x.T @ (x @ v))[0]
+    return v @ np.linalg.svd(x @ v, full_matrices=False)[2].T[:, :rank]
+
+
 @dataclass(frozen=True)
 class Model:
     projection: np.ndarray  # SIZE x RANK, with idf
@@ -108,7 +133,7 @@ def fit(labelled: DataFrame, text: str, label: str, sample: int = SAMPLE, rank:
     n = known.count()
     if not n:
         return None
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
+    chosen = sampled(known, F.lit(min(1.0, sample / n)), ["label"], sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +152,7 @@ def fit(labelled: DataFrame, text: str, label: str, sample: int = SAMPLE, rank:
     label_, x = label_[order], x[order]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
     weighted = x * idf
-    values, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    projection = (idf[:, None] * vectors[:, ::-1][:, : min(rank, len(x))]).astype(np.float32)
+    projection = (idf[:, None] * leading(weighted, rank)).astype(np.float32)
     model = Model(projection, np.zeros((0, 0)), label_, neighbours, sharpness)
     return Model(projection, np.ascontiguousarray(model.embed(x).T), label_, neighbours, sharpness)
 
