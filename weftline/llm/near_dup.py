@@ -19,7 +19,7 @@ often shingles repeat.
 Equal texts are one node from the start. Steps end in written tables; labels spread with pointer jumping.
 
 Defined results: a null text is an empty one; texts without words are copies only of equal texts; the class id is the least
-id of its members (a null id counts as a hash of the text); equal rows share their class; an empty table gives an empty
+id of its members (an id that is null or no integer counts as a hash of the text); equal rows share their class; an empty table gives an empty
 table. Extra columns are not read.
 """
 
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, parallelism, slabs, span_hashes, spans, stash, text_buffers, tidy
+from .common import discard, gram_hashes, mix, parallelism, slabs, span_hashes, spans, stash, text_buffers, tidy
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Texts of a class, and outsiders, that are compared in one cell, about.
-CELL = 4096
+CELL = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,14 +201,16 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     edges = stash(ends, f"{name}-edges")
     n = edges.count()
-    labels = stash(snug(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), n), name)
+    table = labels = stash(snug(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), n), name)
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("m"))
         least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         step = stash(snug(least.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), n), name)
-        labels = step.select("node", "label")
+        discard(table)
+        table, labels = step, step.select("node", "label")
         if step.where("old != label").isEmpty():
+            discard(edges)
             return labels
 
 
@@ -216,14 +218,16 @@ def _labelled(docs: DataFrame, id: str, text: str, k: int, least: float, bands:
     """(own_id, h1, h2, class_id) for each row of docs; h1 and h2 are hashes of its text."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{id}`").alias("own_id"), body.alias("text")).select("own_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    own = own.select("own_id", F.coalesce(F.col("own_id").cast("long"), "h2").alias("id"), "h1", "h2", "text")
+    own = own.select("own_id", F.coalesce(F.col("own_id").try_cast("long"), "h2").alias("id"), "h1", "h2", "text")
     sketch = stash(own.select("id", "h1", "h2", "text").mapInArrow(_sketch(k, bands, rows), "id long, h1 long, h2 long, bands array<long>"), "sketches")
     nodes = stash(sketch.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    discard(sketch)
     cut = nodes.select("node", F.explode("bands").alias("band"))
     met = cut.join(cut.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
-    met = stash(met, "buckets")
-    n_members = met.count()
-    members = stash(snug(met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), n_members), "members")
+    buckets = stash(met, "buckets")
+    n_members = buckets.count()
+    members = stash(snug(buckets.join(buckets.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "node", "score"), n_members), "members")
+    discard(buckets)
     involved = nodes.select("node", "h1", "h2").join(members.select("node").distinct(), "node")
     texts = own.join(involved, ["h1", "h2"]).where("id = node").select("node", "text").dropDuplicates(["node"])
     texts = stash(texts, "texts")
@@ -246,7 +250,9 @@ def _labelled(docs: DataFrame, id: str, text: str, k: int, least: float, bands:
     dealt = stash(snug(now.join(split, "band").select("key", "node", "label").distinct(), n_members), "split")
     cells = _cells(dealt, CELL).join(texts, "node").repartition(parallelism(docs.sparkSession), "cell").sortWithinPartitions("cell", "node")
     found = stash(cells.select("cell", "node", "label", "side", "text").mapInArrow(_across(k, least), "a long, b long"), "links")
-    labels = components(links.unionByName(found))
+    joined = components(links.unionByName(found))
+    discard(members, texts, labels, dealt, links, found)
+    labels = joined
     known = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return own.select("own_id", "h1", "h2").join(known, ["h1", "h2"])
 
