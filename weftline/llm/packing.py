@@ -10,7 +10,7 @@ single space between two other characters, so each distinct chunk is encoded onc
 any other white space than that and single line breaks are encoded whole. The ids equal those of the whole text's encoding.
 
 Defined results: a null text is an empty one and has the end id only; very long texts are cut, no id is dropped; ties in
-length go by document; equal rows are packed each for itself; an empty table gives an empty table. Own columns are returned
+length go by document; equal rows are packed each for itself; ids may be of any type; an empty table gives an empty table. Own columns are returned
 with the key only, so extra columns cannot clash.
 """
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import parallelism, slabs, span_hashes, text_buffers, tidy
 
@@ -162,7 +163,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-_PIECES = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECE = ("start", "length", "ids_crc32", "doc_tokens")
 
 
 def _pieces(path: str, window: int, end: int):
@@ -171,28 +172,26 @@ def _pieces(path: str, window: int, end: int):
         for batch in batches:
             for a, b in slabs(text_buffers(batch.column("text"))[1], TEXT_AT_ONCE):
                 part, out = batch.slice(a, b - a), []
-                for key, row, ids in zip(part.column("id").to_pylist(), part.column("row").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
+                for at, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += end.to_bytes(4, "little")
                     for s in range(0, len(ids), 4 * window):
                         piece = ids[s : s + 4 * window]
-                        out.append((key, row, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
+                        out.append((at, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                at, *columns = (pa.array(c, pa.int64()) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("row").take(at), *columns], names=["id", "row", *_PIECE])
 
     return tidy(run)
 
 
-_PLACED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
 def _place(window: int):
     """Rows come sorted by bin, falling length; each bin's sequences are numbered from bin * 2**32."""
 
     def packed(rows: pa.Table) -> pa.RecordBatch:
         number, offset = best_fit(rows.column("length").to_pylist(), window)
         first = rows.column("bin")[0].as_py() << 32
-        keep = [rows.column(c).combine_chunks() for c in ("id", "start", "length", "ids_crc32", "doc_tokens")]
+        keep = [rows.column(c).combine_chunks() for c in ("id", *_PIECE)]
         columns = [*keep, pa.array(np.array(number, np.int64) + first), pa.array(offset, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays(columns, names=["id", *_PIECE, "sequence_id", "offset"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,10 +214,11 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bins = max(1, docs.count() // per_bin)
     body = F.col(f"`{text}`").cast("string")
-    own = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{id}`"), body).alias("row"), body.alias("text"))
-    pieces = own.mapInArrow(_pieces(tokenizer, window, end), _PIECES)
+    own = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{id}`"), body).alias("row"), body.alias("text"))
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    pieces = own.mapInArrow(_pieces(tokenizer, window, end), T.StructType([own.schema["id"], *long("row", *_PIECE)]))
     # equal rows are told apart by the partition they are read in, so that no bin gets all of them
     spread = F.xxhash64("row", "start", F.spark_partition_id())
     dealt = pieces.withColumn("bin", F.pmod(spread, F.lit(bins))).repartition(min(bins, max(parallelism(docs.sparkSession), 1)), "bin")
-    placed = dealt.sortWithinPartitions("bin", F.desc("length"), "row", "start").mapInArrow(_place(window), _PLACED)
+    placed = dealt.sortWithinPartitions("bin", F.desc("length"), "row", "start").mapInArrow(_place(window), T.StructType([own.schema["id"], *long(*_PIECE, "sequence_id", "offset")]))
     return placed.withColumnRenamed("id", id)

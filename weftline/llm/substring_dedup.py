@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, parallelism, powers, slabs, sliding_min, span_hashes, spans, stash, text_buffers, tidy
+from .common import discard, gram_hashes, mix, parallelism, powers, slabs, sliding_min, span_hashes, spans, stash, text_buffers, tidy
 from .fm_index import FMIndex, repeated_spans
 
 WIDTH, SEED = 35, 8
@@ -218,6 +218,8 @@ def dedupe(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     warm = warm.select("minimizer", "content", (F.col("shift") + F.col("low")).alias("low"), (F.col("shift") + F.col("high")).alias("high"))
     at = runs.join(cold.unionByName(warm), ["minimizer", "content"])
     gone = at.groupBy("row").agg(F.collect_set(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("gone"))
+    gone = stash(gone, "gone")
+    discard(runs, pieces, found)
     own = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own"), F.col(f"`{text}`").cast("string").alias("text"))
     last = own.join(gone, "row", "left").select("own", "text", "gone")
     schema = T.StructType([own.schema["own"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string")])
