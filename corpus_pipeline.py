@@ -12,22 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, near_dup, packing, quality_rules, substring_dedup
-from weftline.llm.common import stash
+from weftline.llm.common import discard, stash
 from weftline.llm.queries import table, tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; lines that fail go from the others."""
+    """Documents that the line-first rules reject go; lines that fail go from the others. Null and empty texts are rejected; equal rows fare alike."""
     return quality_rules.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays, the one with the least id; rows without id and repeated rows count like any other."""
+    """One row of each class stays, the one with the least id; rows without id and repeated rows count like any other. A null text is an empty one, and all of these are one class."""
     return near_dup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that repeat go; what is left, joined by spaces, is the document's text."""
+    """Words of passages that repeat go; what is left, joined by spaces, is the document's text. Texts that lose nothing, null ones too, stay as they are; one that loses all is empty."""
     kept = substring_dedup.dedupe(docs)
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("own.text"))}
     text = changed["text"]
@@ -35,13 +35,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, equal rows together; null and empty texts stay."""
     leaked = decontamination.leaking_rows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.join(leaked, decontamination.row_key("doc_id", "text") == F.col("row"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; a null text is an empty one and has the end id only."""
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
 
 
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet and read again by the next."""
+    """All stages over documents; each one's rows are written as Parquet and read again by the next, and dropped when that has written its own."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        out = stash(stage(spark, docs, sf_dir), name)
+        if at:
+            discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
