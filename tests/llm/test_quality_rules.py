@@ -51,3 +51,12 @@ def test_clean_keeps_columns(messy, empty):
     assert out.columns == messy.columns
     assert all(r.n_chars == len(r.text) for r in out.collect())
     assert Q.clean(empty).count() == 0
+
+
+def test_marks_of_other_scripts_and_phrases_in_prose(spark):
+    """Lines of scripts with other sentence marks, or none, pass; phrases fail short lines of four languages, not paragraphs."""
+    good = ["这是一个很长的句子。", "यह एक वाक्य है। और", "هل هذه جملة؟", "นี่คือประโยคหนึ่ง", "To log in he had to find the key that his brother had hidden long ago under the stone."]
+    bad = ["Log in to read.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "no mark here"]
+    for lines, fails in ((good, 0), (bad, 5)):
+        r = Q.judge(spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")).first()["_q_"]
+        assert r.n_lines_failed == fails, r

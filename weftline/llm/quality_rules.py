@@ -20,15 +20,21 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class LineRules:
-    """A line fails if it has no sentence mark; more than `symbol_share` marks a word; separators of a menu or table; a phrase of site boilerplate; or if it repeats an earlier line."""
+    """A line fails if it has no sentence mark (scripts without one pass); more than `symbol_share` marks a word; separators of a menu or table; a phrase of site boilerplate, if it has `phrase_words` words or fewer, so that prose may speak of these things; or if it repeats an earlier line."""
 
-    sentence: str = r"[.!?…][\"'”’»)\]]*([ \t-\r]|$)"
+    sentence: str = r"[.!?…؟۔।॥։][\"'”’»)\]]*([ \t-\r]|$)|[。！？｡។။།።ก-๛ກ-ໝ]"
     marks: str = "#*$%&|<>{}"
     shout: str = "!!"
     symbol_share: float = 0.3
     separators: str = "|»›"
     separator_count: int = 3
-    phrases: str = r"(?i)(cookies? (policy|settings|notice)|accept (all )?cookies|enable javascript|javascript (is|must be)|terms (of (use|service)|and conditions)|privacy policy|all rights reserved|lorem ipsum|sign in|log ?in|subscribe (to|now)|click here|read more|share (this|on)|skip to (main )?content|back to top|powered by)"
+    phrases: str = (
+        r"(?i)(cookies? (policy|settings|notice)|accept (all )?cookies|enable javascript|javascript (is|must be)|terms (of (use|service)|and conditions)|privacy policy|all rights reserved|lorem ipsum|sign in|log ?in|subscribe (to|now)|click here|read more|share (this|on)|skip to (main )?content|back to top|powered by"
+        r"|cookie-(richtlinie|einstellungen)|cookies (akzeptieren|accepter|aceptar)|datenschutzerklärung|alle rechte vorbehalten|nutzungsbedingungen|jetzt anmelden|hier klicken|weiterlesen|nach oben|zum inhalt springen"
+        r"|politique de confidentialité|tous droits réservés|conditions (générales|d'utilisation)|se connecter|cliquez ici|lire la suite|haut de page|aller au contenu"
+        r"|política de (privacidad|cookies)|todos los derechos reservados|términos (de uso|y condiciones)|iniciar sesión|haz clic aquí|leer más|seguir leyendo|ir al contenido)"
+    )
+    phrase_words: int = 15
     least_kept: float = 0.5
 
 
@@ -71,7 +77,7 @@ def line_fails(line: Column, n: Column, rules: LineRules) -> Column:
     shouts = (F.char_length(line) - F.char_length(F.replace(line, F.lit(rules.shout), F.lit("")))) / len(rules.shout)
     noisy = count_of(line, rules.marks) + shouts > n * F.lit(rules.symbol_share)
     menu = count_of(line, rules.separators) >= F.greatest(F.lit(rules.separator_count).cast("double"), n / 4)
-    return ~line.rlike(rules.sentence) | noisy | menu | line.rlike(rules.phrases)
+    return ~line.rlike(rules.sentence) | noisy | menu | ((n <= rules.phrase_words) & line.rlike(rules.phrases))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:

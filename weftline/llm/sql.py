@@ -25,7 +25,7 @@ line AS (SELECT r, line, count(*) AS times, len(regexp_extract_all(line, '[^ \\t
 judged AS (SELECT r, n, times, NOT regexp_matches(line, '{_SENTENCE}')
   OR {_count("line", _R.marks)} + (length(line) - length(replace(line, '{_R.shout}', ''))) / {len(_R.shout)} > n * {_R.symbol_share}::DOUBLE
   OR {_count("line", _R.separators)} >= greatest({_R.separator_count}, n / 4)
-  OR regexp_matches(line, '{_PHRASES}') AS bad FROM line),
+  OR (n <= {_R.phrase_words} AND regexp_matches(line, '{_PHRASES}')) AS bad FROM line),
 doc AS (SELECT r, sum(times - 1)::BIGINT AS n_dup_lines, coalesce(sum(n) FILTER (NOT bad), 0)::BIGINT AS n_words_kept, count(*) FILTER (bad) AS n_lines_failed FROM judged GROUP BY r),
 base AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
   {_count("t", "#*$%&|<>")} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
