@@ -11,7 +11,9 @@ from . import decontamination, html_extraction, language_id, near_dup, packing,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one in fewer pieces than there are cores is dealt out, so that work on each row is shared."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(3) == 1)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality_knn.fit(docs.where("not held_out").join(labels, "doc_id"), "text", "quality")
     return quality_knn.score(docs, model).select("doc_id", "held_out", F.col("_k_score").alias("score"), (F.col("_k_score") >= 0.5).cast("int").alias("predicted"))
 
