@@ -61,3 +61,37 @@ def test_host_of_a_rule_in_the_path(spark):
     ]
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id bigint, url string")
     assert {r.page_id: (r["_u_rule"], r["_u_verdict"]) for r in U.judge(rows).collect()} == {i: c[1:] for i, c in enumerate(cases)}
+
+
+def test_canonical_urls(spark):
+    cases = [
+        ("http://u:p@Shop.net.:8080/a/../login", "block"),
+        ("http://shop.net/%6Cogin", "block"),
+        ("http://shop.net/./login?next=/a", "block"),
+        ("http://shop.net/loginhelp", "allow"),
+        ("http://shop.net/cartoon", "allow"),
+        ("http://shop.net/cart/1", "block"),
+        ("http://shop.net/search?q=a", "block"),
+        ("http://shop.net/search/results", "allow"),
+        ("http://shop.net/searches", "allow"),
+        ("http://shop.net/a?b=casino", "block"),
+        ("http://shop.net/a#casino", "allow"),
+        ("http://ads.net/x", "block"),
+        ("http://shop.net/..", "allow"),
+    ]
+    rows = spark.createDataFrame([(c[0], c[1]) for c in cases], "url string, _want string")
+    assert [(r.url, r["_u_verdict"]) for r in U.judge(rows).collect()] == cases
+    assert U.canonical("http://u@H.:80/a/b/../c/.?q#f", "u@h.:80", "/a/b/../c/.") == "h/a/c/?q"
+
+
+def test_rules_of_a_table(spark, monkeypatch):
+    rules = spark.createDataFrame([("*spam*",), ("*spam*",), (None,), ("h.net/[*]",)], "glob string")
+    assert U.globs_of(rules) == ("*spam*", "h.net/[*]")
+    rows = spark.createDataFrame([("http://h.net/*",), ("http://h.net/x",), ("http://h.net/spam",), (None,)], "url string")
+    got = U.judge(rows, block=U.globs_of(rules)).collect()
+    assert [r["_u_verdict"] for r in got] == ["block", "allow", "block", "allow"]
+    monkeypatch.setattr(U, "MOST_RULES", 1)
+    import pytest
+
+    with pytest.raises(ValueError):
+        U.globs_of(rules)

@@ -37,10 +37,13 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 
 _fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
 _ranked = sorted(SITE_RULES, key=lambda r: -len(r.name))
-_like = " OR ".join("whole LIKE '" + g.replace("_", "\\_").replace("*", "%").replace("?", "_") + "' ESCAPE '\\'" for g in BLOCK_GLOBS)
+_pattern = lambda g: g.replace("_", "\\_").replace("[?]", "\0").replace("*", "%").replace("?", "_").replace("\0", "?")
+_like = " OR ".join(f"whole LIKE '{_pattern(g)}' ESCAPE '\\'" for g in BLOCK_GLOBS)
+#: For URLs without escapes and dot segments in the path, as the driver's tables have them.
 OP10 = f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages), f AS (SELECT *, host || path AS whole FROM p)
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) AS query FROM pages),
+f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') || path || query AS whole FROM p)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.name}'" for r in _ranked)} END AS rule,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in _ranked)} WHEN {_like} THEN 'block' ELSE 'allow' END AS verdict FROM f
 """

@@ -1,8 +1,10 @@
 """URL filter: a bit-parallel wildcard automaton over canonical URLs.
 
 Every glob rule owns a run of bits in a multiword Shift-And mask: one bit per literal character or `?`, and a self-loop
-where a `*` stands; the `*` before the host of a site rule stops at the first `/`. One pass over a URL's bytes simulates all rules at once; a batch of URLs advances together, one byte
-position at a time, on arrays of 64-bit words.
+where a `*` stands; `[c]` is the character c itself; the `*` before the host of a site rule stops at the first `/`. One pass
+over a URL's bytes simulates all rules at once; a batch of URLs advances together, one byte position at a time, on arrays of
+64-bit words. Site rules run over host and path as they stand, block globs over the canonical URL: host without user, port and
+final dots, path without dot segments and needless escapes, and the query.
 
 Defined results: a null URL or one without `://` has an empty host and path and matches only rules that match the empty
 string; long URLs are read whole; equal URLs get equal verdicts; an empty table gives an empty table. Own columns start
@@ -11,6 +13,7 @@ with `_u_`, other columns are carried.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +47,50 @@ SITE_RULES = (
     SiteRule("allow", "com", "/fr/"),
     SiteRule("block", "com", "/de/"),
 )
-#: Globs over host and path for URLs that no site rule fits; one hit blocks.
-BLOCK_GLOBS = ("*casino*", "*porn*", "*xxx*", "*viagra*", "*betting*", "*escort*", "*torrent*", "*/login*", "*/signin*", "*/cart*", "*/wp-admin*", "*/search?*", "*.exe", "*.zip", "ads.*", "*.ads.*", "*doubleclick*", "*/tag/*/page/*")
+
+
+def segment(name: str) -> tuple[str, ...]:
+    """Globs for a path segment of this name."""
+    return f"*/{name}", f"*/{name}/*", f"*/{name}[?]*"
+
+
+#: Globs over the canonical URL for pages that no site rule fits; one hit blocks.
+BLOCK_GLOBS = (
+    *(f"*{word}*" for word in ("casino", "porn", "xxx", "viagra", "betting", "escort", "torrent", "doubleclick")),
+    *(g for name in ("login", "signin", "signup", "cart", "checkout", "wp-admin") for g in segment(name)),
+    *("*/search[?]*", "*.exe", "*.zip", "ads.*", "*.ads.*", "*/tag/*/page/*"),
+)
+#: Rules of a table, at most: they go to every task.
+MOST_RULES = 100_000
+
+
+def globs_of(rules: DataFrame, glob: str = "glob") -> tuple[str, ...]:
+    """The block globs of a table of rules; a table of more than MOST_RULES is refused, not cut."""
+    got = [r[0] for r in rules.where(F.col(f"`{glob}`").isNotNull()).select(glob).distinct().orderBy(glob).limit(MOST_RULES + 1).collect()]
+    if len(got) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(got)
+
+
+_ESCAPE = re.compile(rb"%([0-9a-fA-F]{2})")
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-._~")
+
+
+def canonical(url: str, host: str, path: str) -> str:
+    """The URL that block globs are matched with; empty for a URL without host and path."""
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".")
+    if "%" in path:
+        path = _ESCAPE.sub(lambda m: bytes([c]) if (c := int(m[1], 16)) in _PLAIN else m[0].upper(), path.encode()).decode()
+    if "/." in path:
+        kept: list[str] = []
+        for part in path.split("/"):
+            if part == "..":
+                kept[1:] = kept[1:-1]
+            elif part != ".":
+                kept.append(part)
+        path = "/".join(kept) + "/" * (path.endswith(("/.", "/..")))
+    rest = url.partition("://")[2].partition("#")[0]
+    return host + path + "".join(rest.partition("?")[1:])
 
 
 class Automaton:
@@ -62,11 +107,16 @@ class Automaton:
             entry.append(start)
             if k < in_host:
                 hosts.add(start)
-            for b in raw:
-                if b == 0x2A:
+            at = 0
+            while at < len(raw):
+                b, named = raw[at], raw[at : at + 1] == b"[" and raw[at + 2 : at + 3] == b"]"
+                if named:
+                    states.append((raw[at + 1], loop))
+                elif b == 0x2A:
                     states[-1] = (states[-1][0], True)
                 else:
                     states.append((-1 if b == 0x3F else b, loop))
+                at += 3 if named else 1
             self.final.append(len(states) - 1)
         self.words = -(-len(states) // 64)
         self.step = np.zeros((256, self.words), np.uint64)
@@ -118,22 +168,21 @@ def path_of(url: Column) -> Column:
 def judge(pages: DataFrame, url: str = "url", rules: tuple[SiteRule, ...] = SITE_RULES, block: tuple[str, ...] = BLOCK_GLOBS) -> DataFrame:
     """pages with `_u_host`, `_u_path`, `_u_rule` (the longest that fits, else null) and `_u_verdict`."""
     ranked = sorted(rules, key=lambda r: -len(r.name))
-    globs = [g for r in ranked for g in r.globs()] + list(block)
-    automaton, sites = Automaton(globs, 2 * len(ranked)), len(ranked)
+    sites, blocks = Automaton([g for r in ranked for g in r.globs()], 2 * len(ranked)), Automaton(block)
     names, verdicts = [r.name for r in ranked], [r.verdict for r in ranked]
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
-    def verdict(host, path):
+    def verdict(whole, host, path):
         import pandas as pd
 
-        hits = automaton.matches(*text_buffers(pa.array(host + path, pa.large_string())))
-        fits = hits[:, 0 : 2 * sites : 2] | hits[:, 1 : 2 * sites : 2]
-        any_rule, best = fits.any(1), fits.argmax(1) if sites else np.zeros(len(hits), int)
-        blocked = hits[:, 2 * sites :].any(1)
+        hits = sites.matches(*text_buffers(pa.array(host + path, pa.large_string())))
+        fits = hits[:, 0::2] | hits[:, 1::2]
+        any_rule, best = fits.any(1), fits.argmax(1) if ranked else np.zeros(len(hits), int)
+        blocked = blocks.matches(*text_buffers(pa.array([canonical(u or "", h, p) for u, h, p in zip(whole, host, path)], pa.large_string()))).any(1)
         rule = [names[b] if a else None for a, b in zip(any_rule, best)]
         said = [verdicts[b] if a else "block" if x else "allow" for a, b, x in zip(any_rule, best, blocked)]
         return pd.DataFrame({"rule": pd.Series(rule, dtype=object), "verdict": said})
 
     split = pages.withColumns({"_u_host": host_of(F.col(f"`{url}`")), "_u_path": path_of(F.col(f"`{url}`"))})
-    said = split.withColumn("_u_said", verdict("_u_host", "_u_path"))
+    said = split.withColumn("_u_said", verdict(F.col(f"`{url}`").cast("string"), "_u_host", "_u_path"))
     return said.withColumns({"_u_rule": F.col("_u_said.rule"), "_u_verdict": F.col("_u_said.verdict")}).drop("_u_said")
