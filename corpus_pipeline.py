@@ -36,8 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go, equal rows together; null and empty texts stay."""
-    leaked = decontamination.leaking_rows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(leaked, decontamination.row_key("doc_id", "text") == F.col("row"), "left_anti")
+    leaked = decontamination.leaking_rows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).withColumnRenamed("row", "_c_row")
+    return docs.join(leaked, decontamination.row_key("doc_id", "text") == F.col("_c_row"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
