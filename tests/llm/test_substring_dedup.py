@@ -55,3 +55,12 @@ def test_fm_index_counts():
             low, high = index.extend(np.array([c]), low, high)
         want = sum((text[i : i + n] == p).all() for i in range(len(text) - n + 1))
         assert int(index.count(low, np.maximum(low, high))[0]) == want
+
+
+def test_compressed_planes():
+    """Ranks of compressed planes are exact, and runs take next to no room."""
+    rng = np.random.default_rng(4)
+    for bit in (rng.random(5000) < 0.5, np.zeros(1000, bool), np.ones(1024, bool), np.repeat(rng.random(40) < 0.5, 1000), np.zeros(0, bool), np.ones(1, bool)):
+        plane = fm_index.Plane(bit)
+        assert (plane.ones(np.arange(len(bit) + 1)) == np.concatenate([[0], np.cumsum(bit)])).all()
+    assert fm_index.Plane(np.repeat([True, False], 500_000)).nbytes < 1_000_000 / 8 / 3

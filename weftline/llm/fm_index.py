@@ -1,27 +1,56 @@
-"""FM-index over integer sequences: suffix order, Burrows-Wheeler transform in a wavelet matrix, batched backward search."""
+"""Compressed FM-index over integer sequences: suffix order, Burrows-Wheeler transform in a wavelet matrix, batched backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
-ONE = np.uint64(1)
+
+#: Words of 64 bits in a block of a plane; bits of a block as a shift; the bits of a block before each position.
+BLOCK, SHIFT = 4, np.int64(8)
+_BEFORE = np.zeros((64 * BLOCK, BLOCK), np.uint64)
+for _i in range(64 * BLOCK):
+    for _k in range(BLOCK):
+        _BEFORE[_i, _k] = (1 << min(64, max(0, _i - 64 * _k))) - 1
+
+
+class Plane:
+    """Bits in blocks, of which those of one kind of bit, as runs of a Burrows-Wheeler transform make them, are not stored: a block has a rank and the number of its words (0: no bit is set, 1: all are)."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit, bitorder="little")
+        words = np.zeros((len(bit) // (64 * BLOCK) + 1) * BLOCK, np.uint64)
+        words.view(np.uint8)[: len(packed)] = packed
+        blocks = words.reshape(-1, BLOCK)
+        set_ = np.bitwise_count(blocks).sum(1, dtype=np.int64)
+        mixed = (set_ > 0) & (set_ < 64 * BLOCK)
+        self.rank = np.zeros(len(blocks), np.int32)
+        np.cumsum(set_[:-1], out=self.rank[1:])
+        self.number = np.where(set_ == 64 * BLOCK, 1, 0).astype(np.int32)
+        self.number[mixed] = np.arange(2, 2 + int(mixed.sum()))
+        self.words = np.concatenate([np.zeros((1, BLOCK), np.uint64), np.full((1, BLOCK), ~np.uint64(0)), blocks[mixed]]).T.copy()
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Bits set before each position."""
+        block = at >> SHIFT
+        number, inside, out = self.number[block], at & np.int64(64 * BLOCK - 1), self.rank[block].astype(np.int64)
+        for k in range(BLOCK):
+            out += np.bitwise_count(self.words[k][number] & _BEFORE[:, k][inside])
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return self.rank.nbytes + self.number.nbytes + self.words.nbytes
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence with a rank directory: n log(sigma) bits and a 32-bit count per 64 bits."""
+    """Compressed bit planes of a sequence: log(sigma) bits a symbol at most, and eight bytes a block."""
 
     def __init__(self, values: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.planes, self.ranks, self.zeros = [], [], []
+        self.planes, self.zeros = [], []
         for level in range(self.levels):
             bit = (values >> (self.levels - 1 - level)) & 1 == 1
-            packed = np.packbits(bit, bitorder="little")
-            plane = np.zeros(len(values) // 64 + 1, np.uint64)
-            plane.view(np.uint8)[: len(packed)] = packed
-            count = np.zeros(len(plane), np.int32)
-            np.cumsum(np.bitwise_count(plane[:-1]), out=count[1:])
-            self.planes.append(plane)
-            self.ranks.append(count)
+            self.planes.append(Plane(bit))
             self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
         self.base = self.descend(np.arange(sigma), np.zeros(sigma, np.int64))
@@ -29,8 +58,7 @@ class WaveletMatrix:
     def descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the prefix of length `at` of the sequence ends among the symbol's run in the last plane."""
         for level in range(self.levels):
-            word = at >> 6
-            ones = self.ranks[level][word] + np.bitwise_count(self.planes[level][word] & ((ONE << (at & 63).astype(np.uint64)) - ONE))
+            ones = self.planes[level].ones(at)
             at = np.where((symbols >> (self.levels - 1 - level)) & 1, self.zeros[level] + ones, at - ones)
         return at
 
