@@ -2,116 +2,22 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
+
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-#: What marks authors, cards, quotes, dates, platforms and the site's own frame.
+from ..functions.text import DATE as DATE_PATTERN
+from .elements import Element, tree
+
+#: What marks authors, cards, quotes and platforms; most links of a card, longest name, shortest quote.
 AUTHOR = re.compile(r"author|reviewer|(^|[\s_-])name($|[\s_-])|testimonial-name|client-name")
 CARD = re.compile(r"review|testimonial|quote|card")
 QUOTE = re.compile(r"text|body|content|quote|review|testimonial")
-_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
-DATE = re.compile(rf"\b{_MONTH} \d{{1,2}},? \d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}} {_MONTH} \d{{4}}\b")
 PLATFORMS = (("Google", r"google|#4285f4"), ("Facebook", r"facebook|#1877f2"), ("Yelp", r"yelp"), ("Trustpilot", r"trustpilot"), ("Houzz", r"houzz"), ("Angi", r"angi\b|angieslist"))
-FRAME_TAGS = frozenset(("header", "nav", "footer", "aside"))
-FRAME_ROLES = frozenset(("banner", "navigation", "contentinfo", "complementary"))
-FRAME = re.compile(r"(^|[\s_-])(site-header|site-footer|masthead|colophon|navbar|main-nav|primary-nav|site-nav|main-menu|primary-menu|global-header|global-footer|page-footer|topbar|top-bar)($|[\s_-])")
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg".split())
 HEADING = re.compile(r"h[1-6]")
 MOST_LINKS, NAME_CHARS, QUOTE_CHARS = 4, 60, 20
-
-
-class Element:
-    def __init__(self, tag: str, attrs: dict, parent: Element | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.content: list[Element | str] = []
-        self.css = attrs.get("class", "").lower()
-
-    @property
-    def children(self) -> list[Element]:
-        return [c for c in self.content if isinstance(c, Element)]
-
-    def __iter__(self) -> Iterator[Element]:
-        todo = [self]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += reversed(e.children)
-
-    def up(self) -> Iterator[Element]:
-        e = self.parent
-        while e is not None:
-            yield e
-            e = e.parent
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x is self or x.tag not in SKIPPED:
-                todo += [" ", *reversed(x.content), " "] if x is not self else [*reversed(x.content)]
-        return " ".join(html.unescape("".join(out)).split())
-
-    def holds(self, other: Element) -> bool:
-        return other is self or any(e is self for e in other.up())
-
-    def links(self) -> int:
-        return sum(e.tag == "a" and bool(e.attrs.get("href")) for e in self)
-
-    def framed(self) -> bool:
-        """Inside the site's own header, menu, footer or sidebar."""
-        line = [self, *self.up()]
-        for i, e in enumerate(line):
-            role = e.attrs.get("role", "").lower()
-            if e.tag in FRAME_TAGS or role in FRAME_ROLES or FRAME.search(f"{e.css} {e.attrs.get('id', '').lower()}"):
-                own = e.tag in ("header", "footer") and not role and any(x.tag in ("main", "article") for x in line[i + 1 :])
-                if not own:
-                    return True
-        return False
-
-    def markup(self) -> str:
-        return " ".join([*(f"{e.tag} " + " ".join(f"{k}={v}" for k, v in e.attrs.items() if v) for e in self), self.text()])
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("#root", {}, None)
-
-    def put(self, tag: str, attrs: list) -> Element:
-        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.content.append(e)
-        return e
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        e = self.put(tag, attrs)
-        self.at = self.at if tag in VOID else e
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.put(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        match = next((e for e in [self.at, *self.at.up()] if e.tag == tag), None)
-        if match is not None and match is not self.root:
-            self.at = match.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.content.append(data)
-
-
-def tree(page: str | None) -> Element:
-    t = _Tree()
-    try:
-        t.feed(page or "")
-        t.close()
-    except Exception:  # noqa: BLE001
-        pass
-    return t.root
+DATE = re.compile(DATE_PATTERN)
 
 
 def _names(e: Element) -> bool:
@@ -156,31 +62,37 @@ def page_reviews(page: str | None, url: str) -> list[dict]:
     return out
 
 
-def _listed(value: object) -> list:
-    return value if isinstance(value, list) else [value]
-
-
 def _words(value: object) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _objects(value: object) -> Iterator[dict]:
+    """Every object inside a JSON value, outer ones first, in order."""
+    if isinstance(value, dict):
+        yield value
+    for inner in value if isinstance(value, list) else value.values() if isinstance(value, dict) else ():
+        yield from _objects(inner)
+
+
+def _is(o: dict, kind: str) -> bool:
+    said = o.get("@type")
+    return kind == said or isinstance(said, list) and kind in said
+
+
+def _review(o: dict, url: str) -> dict:
+    author, rated = o.get("author"), o.get("reviewRating")
+    name = author.get("name") if isinstance(author, dict) else author
+    stars = rated.get("ratingValue") if isinstance(rated, dict) else None
+    return {"quote": _words(o.get("reviewBody") or o.get("description") or ""), "name": _words(name), "date": _words(o.get("datePublished")), "platform": None, "stars": _words(stars), "url": url, "origin": "jsonld"}
+
+
+def _rating(o: dict, url: str) -> dict:
+    return {"value": _words(o.get("ratingValue")), "count": _words(o.get("reviewCount") or o.get("ratingCount")), "best": _words(o.get("bestRating")), "url": url}
+
+
 def jsonld_reviews(items: list[str], url: str) -> tuple[list[dict], list[dict]]:
     """Reviews and aggregate ratings anywhere inside JSON-LD items (JSON strings)."""
-    reviews, ratings, todo = [], [], [json.loads(i) for i in reversed(items or [])]
-    while todo:
-        o = todo.pop()
-        if isinstance(o, list):
-            todo += reversed(o)
-        elif isinstance(o, dict):
-            types, nested = _listed(o.get("@type")), o.get("aggregateRating")
-            if "Review" in types:
-                author, rated = o.get("author"), o.get("reviewRating") or {}
-                quote = o.get("reviewBody") or o.get("description") or ""
-                name = author.get("name") if isinstance(author, dict) else author
-                if quote:
-                    reviews.append({"quote": _words(quote), "name": _words(name), "date": _words(o.get("datePublished")), "platform": None, "stars": _words(rated.get("ratingValue")) if isinstance(rated, dict) else None, "url": url, "origin": "jsonld"})
-            if "AggregateRating" in types or isinstance(nested, dict):
-                r = o if "AggregateRating" in types else nested
-                ratings.append({"value": _words(r.get("ratingValue")), "count": _words(r.get("reviewCount") or r.get("ratingCount")), "best": _words(r.get("bestRating")), "url": url})
-            todo += [v for v in reversed(o.values()) if isinstance(v, (list, dict))]
-    return reviews, ratings
+    objects = [o for item in items or [] for o in _objects(json.loads(item))]
+    rated = (o if _is(o, "AggregateRating") else o.get("aggregateRating") for o in objects)
+    reviews = (_review(o, url) for o in objects if _is(o, "Review"))
+    return [r for r in reviews if r["quote"]], [_rating(r, url) for r in rated if isinstance(r, dict)]
