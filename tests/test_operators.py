@@ -259,3 +259,51 @@ def test_reachable_over_a_long_chain(spark):
     edges = spark.createDataFrame([("a", f"u{i}", f"u{i + 1}") for i in range(23)], "site string, from_url string, to_url string")
     starts = spark.createDataFrame([("a", "u0")], "site string, url string")
     assert {r.url: r.steps for r in audit.reachable(edges, starts).collect()} == {f"u{i}": i for i in range(24)}
+
+
+def _greedy(rows, threshold=0.9):
+    """Kept pages of (ord, text) in reading order, by signatures."""
+    from weftline.functions.text import minhash_of
+
+    kept, out = [], {}
+    for i, t in sorted(rows):
+        sig = minhash_of(t)
+        out[i] = not any(sum(x == y for x, y in zip(sig, k)) >= 64 * threshold for k in kept)
+        if out[i]:
+            kept.append(sig)
+    return out
+
+
+@pytest.mark.parametrize("one_key", [False, True])
+def test_greedy_in_rounds(spark, monkeypatch, one_key):
+    """Chains of near copies and unlike pages, also where all pages meet under one key in many cells: the rule of the reader in order, in few rounds."""
+    import random
+
+    from weftline.operators import dedupe
+
+    rng, rows = random.Random(5), []
+    base = [f"w{rng.randrange(700)}" for _ in range(200)]
+    for i in range(160):
+        w = list(base) if i % 2 else [f"u{rng.randrange(9999)}" for _ in range(60)]
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    if one_key:
+        monkeypatch.setattr(dedupe, "keys", lambda signature, threshold: F.array(F.lit(7).cast("bigint")))
+        monkeypatch.setattr(dedupe, "SMALL_BAND", 4)
+        monkeypatch.setattr(dedupe, "CELL", 16)
+    rounds, plain = [], dedupe._settle
+    monkeypatch.setattr(dedupe, "_settle", lambda *a: rounds.append(1) or plain(*a))
+    got = {r.ord: r.kept for r in dedupe.greedy(spark.createDataFrame([("s", i, t) for i, t in rows], "site string, ord bigint, text string")).collect()}
+    assert got == _greedy(rows) and 10 < sum(got.values()) < 150
+    assert len(rounds) <= 5
+
+
+def test_keys_lose_no_match():
+    """Any two signatures that match have a key in common."""
+    from weftline.operators import dedupe
+
+    need = dedupe.slots_needed(0.9)
+    groups = 64 - need + 1
+    cuts = [64 * i // groups for i in range(groups + 1)]
+    assert need == 58 and groups == 7 and cuts[0] == 0 and cuts[-1] == 64 and all(a < b for a, b in zip(cuts, cuts[1:]))
