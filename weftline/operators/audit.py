@@ -91,7 +91,7 @@ def sitemap_drift(listed: DataFrame, status: DataFrame, answered: DataFrame) ->
 
 def old_urls(inventory: DataFrame, status: DataFrame, base: Column) -> DataFrame:
     """Old URLs on the new host whose verdict is not ok."""
-    rows = inventory.withColumn("target", U.map_to(F.col("url"), base)).join(status.select(F.col("url").alias("target"), "status", F.size("hops").alias("hops"), "noindex"), "target", "left")
+    rows = inventory.select("site", "url", U.map_to(F.col("url"), base).alias("target")).join(status.select(F.col("url").alias("target"), "status", F.size("hops").alias("hops"), "noindex"), "target", "left")
     rows = rows.withColumn("verdict", R.verdict(F.col("status"), F.coalesce("hops", F.lit(0)), F.coalesce("noindex", F.lit(False))))
     return _issue(rows.where("verdict != 'ok'"), "old url", F.col("url"), F.concat(F.col("verdict"), F.lit(" ("), F.coalesce(F.col("status").cast("string"), F.lit("None")), F.lit(")")))
 

@@ -185,15 +185,6 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL (SELECT path, 'new_in_sitemap' FROM x WHERE ord % 2 = 0 EXCEPT SELECT path, 'new_in_sitemap' FROM x WHERE ord % 3 <> 0)""",
     "sitemap_label": "SELECT * FROM " + rows("id, words, label", [(0, "post", "post"), (1, "products", "products"), (2, "recipe", "recipe"), (3, "page", None), (4, "", None), (5, "", None), (6, "news", "news")]),
     "retry_waits": """SELECT o_orderkey, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS throttled, least(120.0::DOUBLE, greatest(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END::DOUBLE, 5 * pow(2, o_orderkey % 4))) AS wait FROM orders""",
-    "hours_runs": "SELECT * FROM " + rows("id, hours", [(1, "Mo-Th 08:00-18:00"), (2, "Sa 12:00-01:00"), (3, ""), (4, "Fr 10:00-16:00; Su 09:30-00:00")]),
-    "address_parts": "SELECT * FROM " + rows("id, street, locality, region, postal_code, country", [(1, "12 Oak St", "Springfield", "IL", "62701", "US"), (2, "1 Main Rd, Suite 4", "Reno", "NV", "89501-1234", "US"), (3, "Hauptstr. 5, Berlin", "", "", "", ""), (4, None, None, None, None, None)]),
-    "time_zone": "SELECT * FROM " + rows("id, zone", [(1, "America/Los_Angeles"), (2, ""), (3, ""), (4, "Europe/Paris"), (5, "America/New_York"), (6, "America/Los_Angeles"), (7, "Europe/London")]),
-    "profiles_dedupe": "SELECT * FROM " + rows("id, profiles", [(1, "https://facebook.com/acme https://x.com/a"), (2, "https://x.com/a")]),
-    "name_from_title": "SELECT * FROM " + rows("id, name", [(1, "PGT Windows"), (2, "Acme Tools"), (3, ""), (4, "Best plumbers")]),
-    "tracking_ids": "SELECT * FROM " + rows("id, pos, kind, value", [(1, 0, "ga4", "G-ABC1234"), (1, 1, "gtm", "GTM-XY12"), (1, 2, "meta_pixel", "1234567890"), (2, 0, "ua", "UA-12345-1"), (2, 1, "hotjar", "99999"), (2, 2, "google_site_verification", "tok")]),
-    "embeds": "SELECT * FROM " + rows("id, pos, kind, host, src", [(1, 0, "map", "www.google.com", "https://www.google.com/maps/embed?x"), (1, 1, "video", "www.youtube.com", "https://www.youtube.com/embed/1"), (1, 2, "payments", "js.stripe.com", "https://js.stripe.com/v3")]),
-    "jsonld_types": "SELECT * FROM " + rows("id, types", [(1, "LocalBusiness"), (2, "Store,Shop,Review"), (3, "")]),
-    "image_variant": "SELECT * FROM " + rows("id, key, original", [(1, "x.com/wp/photo.jpg", "https://x.com/wp/photo.jpg"), (2, "x.com/wp/photo.jpg?v=2", "https://x.com/wp/photo.jpg?v=2"), (3, "cdn.shopify.com/s/files/lamp.jpg", "https://cdn.shopify.com/s/files/lamp.jpg"), (4, "x.com/img/site-logo.png", "https://x.com/img/site-logo.png"), (5, "x.com/partners/acme.png", "https://x.com/partners/acme.png"), (6, "x.com/icons/arrow.svg", "https://x.com/icons/arrow.svg"), (7, "images.unsplash.com/a.jpg", "https://images.unsplash.com/a.jpg"), (8, "x.com/a/b/badge.png", "https://x.com/a/b/badge.png"), (9, "x.com/hero.webp", "https://x.com/hero.webp"), (10, "x.com/themes/bg.png", "https://x.com/themes/bg.png"), (11, "x.com/u/pic.gif", "https://x.com/u/pic.gif")]),
     "strip_plans": """SELECT o_orderkey, n AS strips, least(2044, h - (n - 1) * 2044) AS last, h > n * 2044 AS cut, 2044::BIGINT AS tallest FROM
       (SELECT o_orderkey, h, least(40, ceil(h / 2044.0)::BIGINT) AS n FROM (SELECT o_orderkey, greatest(1, trunc(o_totalprice / 4)::BIGINT) AS h FROM orders))""",
     "change_status": f"{_CHANGES} SELECT * FROM c",
@@ -212,5 +203,7 @@ ORACLE_SQL["copyright_lines"] = "SELECT page_id, contains(html, '<footer>&copy;'
 ORACLE_SQL["layout_problems"] = "SELECT * FROM " + rows("url, rule, line", [
     ("u", "sideways", "390px, 900px: scrolls sideways by 30px, first past the edge: div"), ("u", "small-text", '390px, 900px: text at 12px in <p> "tiny"; 14px is the smallest a reader needs'),
     ("u", "tight-panel", '900px: "t" is 4px from the left edge of <div>, a panel with its own ground; give it at least 16px of padding'), ("v", "not-measured", "390px: not measured: no answer")])
-ORACLE_SQL["feed_items"] = "SELECT * FROM " + rows("url, title, date, html", [("http://x/a", "T", "2024-01-02", "d")])
-ORACLE_SQL["sitemap_entries"] = "SELECT * FROM " + rows("id, pos, loc, lastmod", [(1, 0, "http://x/a", "2024-01-01"), (1, 1, "http://x/b", None), (2, 0, "http://x/c", None)])
+
+from .built_oracles import BUILT  # noqa: E402  it reads the parts above
+
+ORACLE_SQL |= BUILT

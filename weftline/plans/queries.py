@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import business as B
 from ..functions import markup as K
 from ..functions import media as M
 from ..functions import rules as R
@@ -406,11 +405,6 @@ def image_rows(spark) -> DataFrame:
     return values(spark, "id bigint, src string, alt string, width int, height int, landmark string, shown int, row int", IMAGES)
 
 
-@query
-def image_variant(spark, sf_dir):
-    return image_rows(spark).select("id", M.variant(F.col("src")).alias("v")).select("id", "v.key", "v.original")
-
-
 @query
 def image_kind(spark, sf_dir):
     kind = M.guess_kind(*[F.col(c) for c in ("src", "alt", "width", "height", "landmark", "shown", "row")])
@@ -434,7 +428,11 @@ def launch_rows(spark, sf_dir):
     """Old pages against answers of a new host, which every third page does not have."""
     u = known_urls(spark, sf_dir).groupBy("url").agg(F.min("ord").alias("ord"))
     inv = u.select("url", F.lit("t").alias("title"), F.lit(None).cast("string").alias("reason"), F.lit(200).alias("status"), F.col("url").alias("file"))
-    new = u.where("ord % 3 != 0").select(U.map_to(F.col("url"), F.lit("https://new.example.com")).alias("url"), F.lit(200).alias("status"), F.when(F.col("ord") % 2 == 0, F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")).alias("hops"), F.lit("f").alias("final_url"), F.when(F.col("ord") % 5 == 0, "").otherwise("T").alias("title"), (F.col("ord") % 2).cast("int").alias("h1_count"), F.lit("d").alias("meta_description"), (F.col("ord") % 4 == 0).alias("noindex"), F.lit(None).cast("string").alias("error")).dropDuplicates(["url"])
+    new = u.where("ord % 3 != 0").groupBy(U.map_to(F.col("url"), F.lit("https://new.example.com")).alias("url")).agg(F.min("ord").alias("ord"))
+    new = new.select(
+        "url", F.lit(200).alias("status"), F.when(F.col("ord") % 2 == 0, F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")).alias("hops"), F.lit("f").alias("final_url"), F.when(F.col("ord") % 5 == 0, "").otherwise("T").alias("title"),
+        (F.col("ord") % 2).cast("int").alias("h1_count"), F.lit("d").alias("meta_description"), (F.col("ord") % 4 == 0).alias("noindex"), F.lit(None).cast("string").alias("error"),
+    )
     rows = launch.check(inv, new, F.lit("https://new.example.com"))
     return rows.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.size("findings") > 0).alias("with_findings"))
 
@@ -459,54 +457,6 @@ def retry_waits(spark, sf_dir):
     return o.select("o_orderkey", F.coalesce(R.throttled(F.col("status"), F.col("header")), F.lit(False)).alias("throttled"), R.backoff(F.col("attempt"), F.col("header"), F.lit(0.0)).alias("wait"))
 
 
-@query
-def hours_runs(spark, sf_dir):
-    h = values(spark, "id bigint, lines array<string>", [(1, ["Mon: 8:00am - 6:00pm", "Tue 8:00am - 6:00pm", "Wed: 8 am to 6 pm", "Thu: 8:00am - 6:00pm"]), (2, ["Sat: 12:00pm - 1am", "Sun closed"]), (3, ["Mon-Fri: 9am - 5pm"]), (4, ["Fri. 9am - 5pm", "fri 10am - 4pm", "Sun: 9:30 a.m. - 12 a.m."])])
-    return h.select("id", F.array_join(B.schema_hours(F.col("lines")), "; ").alias("hours"))
-
-
-@query
-def address_parts(spark, sf_dir):
-    a = values(spark, "id bigint, line string", [(1, "12 Oak St, Springfield, IL 62701"), (2, "1 Main Rd, Suite 4, Reno, NV 89501-1234, USA"), (3, "Hauptstr. 5, Berlin"), (4, "")])
-    return a.select("id", B.us_line(F.col("line")).alias("a")).select("id", "a.*")
-
-
-@query
-def time_zone(spark, sf_dir):
-    z = values(spark, "id bigint, region string, country string", [(1, "CA", "US"), (2, "FL", "US"), (3, "", "France"), (4, "", "FR"), (5, "NY", ""), (6, "WA", "usa"), (7, None, "United Kingdom")])
-    return z.select("id", B.time_zone(F.col("region"), F.col("country")).alias("zone"))
-
-
-@query
-def profiles_dedupe(spark, sf_dir):
-    p = values(spark, "id bigint, urls array<string>", [(1, ["http://www.facebook.com/Acme/", "https://facebook.com/acme", "https://x.com/a"]), (2, ["https://x.com/a", "http://x.com/A/"])])
-    return p.select("id", F.array_join(B.profiles(F.col("urls")), " ").alias("profiles"))
-
-
-@query
-def name_from_title(spark, sf_dir):
-    t = values(spark, "id bigint, title string, host string", [(1, "Home | PGT Windows", "pgtwindows.com"), (2, "Welcome - Acme Tools – Shop", "www.tools.example"), (3, "Home", "x.com"), (4, "Best plumbers | Reno", "abc.com")])
-    return t.select("id", B.name_from_title(F.col("title"), F.col("host")).alias("name"))
-
-
-@query
-def tracking_ids(spark, sf_dir):
-    h = values(spark, "id bigint, html string", [(1, "gtag('config','G-ABC1234'); fbq('init', '1234567890'); G-ABC1234 GTM-XY12"), (2, '<meta name="google-site-verification" content="tok"> UA-12345-1 hjid: 99999'), (3, "nothing")])
-    return h.select("id", F.posexplode(K.tracking_ids(F.col("html"))).alias("pos", "t")).select("id", long("pos").alias("pos"), "t.kind", "t.value")
-
-
-@query
-def embeds(spark, sf_dir):
-    e = values(spark, "id bigint, iframes array<string>, scripts array<string>", [(1, ["https://www.google.com/maps/embed?x", "https://www.youtube.com/embed/1"], ["https://js.stripe.com/v3", "https://www.youtube.com/embed/1", "https://x.com/a.js"])])
-    return e.select("id", F.posexplode(K.embeds(F.col("iframes"), F.col("scripts"))).alias("pos", "e")).select("id", long("pos").alias("pos"), "e.*")
-
-
-@query
-def jsonld_types(spark, sf_dir):
-    j = values(spark, "id bigint, raw string", [(1, '{"@type":"LocalBusiness","name":"A",}'), (2, '[{"@type":["Store","Shop"]},{"@graph":[{"@type":"Review"}]}]'), (3, "{not json}")])
-    return j.select("id", F.array_join(K.jsonld_types(K.jsonld_items(F.col("raw"))), ",").alias("types"))
-
-
 @query
 def strip_plans(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 4).cast("int").alias("height"))
@@ -605,21 +555,6 @@ def layout_problems(spark, sf_dir):
     return measure.problems(values(spark, LAYOUT_MEASURE + ", ord int", rows)).select("url", "rule", "line")
 
 
-@query
-def feed_items(spark, sf_dir):
-    from ..sources import feeds
-
-    rss = "<rss><channel><item><title>T</title><link>/a</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>d</description></item></channel></rss>"
-    f = feeds.items(values(spark, "feed_url string, ord bigint, xml string", [("http://x/feed", 0, rss), ("http://x/bad", 1, "<")]))
-    return f.select("url", "title", "date", "html")
-
-
-@query
-def sitemap_entries(spark, sf_dir):
-    from ..sources import sitemaps
-
-    s = values(spark, "id bigint, xml string", [(1, "<url><loc> http://x/a </loc><lastmod>2024-01-01</lastmod></url><url><loc>http://x/b</loc></url>"), (2, "<loc>http://x/c</loc>"), (3, "none")])
-    return s.select("id", F.posexplode(sitemaps.entries(F.col("xml"))).alias("pos", "e")).select("id", long("pos").alias("pos"), "e.loc", "e.lastmod")
-
-
 QUERIES["inventory"] = inventory_rows
+
+from . import built_queries  # noqa: E402, F401  registers its queries
