@@ -12,6 +12,8 @@ from ..parse.stage import a11y_findings
 from ..plans.written import written
 
 MAX_HTML, MAX_IMAGE, EXTERNAL, DRIFT, SOURCES_CHARS = 1_000_000, 1_500_000, 100, 50, 200
+#: Characters that a URL in a list takes at least, with the comma behind it.
+SHORTEST_URL = 10
 
 
 def _issue(df: DataFrame, kind: str, subject: Column, detail: Column) -> DataFrame:
@@ -42,10 +44,17 @@ def page_findings(pages: DataFrame) -> DataFrame:
     return rows.select("site", "url", F.concat(own, a11y_findings(F.col("html"), F.col("title"), F.col("meta_description"))).alias("findings"))
 
 
+def _sources(targets: DataFrame, by: list[str]) -> DataFrame:
+    """`from`: the pages that link to a target, in order, up to SOURCES_CHARS. No more of them are gathered than can be shown."""
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("url_from"))
+    first = targets.select(*by, "url_from").distinct().withColumn("_n", turn).where(F.col("_n") <= SOURCES_CHARS // SHORTEST_URL + 1)
+    return first.groupBy(*by).agg(F.substring(F.array_join(F.array_sort(F.collect_list("url_from")), ", "), 1, SOURCES_CHARS).alias("from"))
+
+
 def page_answers(status: DataFrame, targets: DataFrame) -> DataFrame:
     """status(site, url, status, final_url, hops): answers that are wrong, with the pages that link there."""
-    linked = targets.groupBy("site", F.col("target").alias("url")).agg(F.array_join(F.array_sort(F.collect_set("url_from")), ", ").alias("from"))
-    rows = status.join(linked, ["site", "url"], "left").withColumn("from", F.substring(F.coalesce("from", F.lit("")), 1, SOURCES_CHARS))
+    linked = _sources(targets, ["site", "target"]).withColumnRenamed("target", "url")
+    rows = status.join(linked, ["site", "url"], "left").fillna("", ["from"])
     sources = lambda none: F.when(F.col("from") == "", none).otherwise(F.col("from"))
     url, ok = F.col("url"), F.col("status") < 400
     return (
@@ -58,7 +67,7 @@ def page_answers(status: DataFrame, targets: DataFrame) -> DataFrame:
 
 def target_answers(targets: DataFrame, crawled: DataFrame, status: DataFrame, external: bool = True, most_external: int = EXTERNAL) -> DataFrame:
     """Targets that were not crawled: broken, redirecting or heavy ones. Of external ones the first `most_external` of a site, in order, that are public."""
-    t = targets.groupBy("site", "netloc", "target").agg(F.substring(F.array_join(F.array_sort(F.collect_set("url_from")), ", "), 1, SOURCES_CHARS).alias("from"))
+    t = _sources(targets, ["site", "netloc", "target"])
     t = t.join(crawled.select("site", F.col("url").alias("target")).distinct(), ["site", "target"], "left_anti").where(U.scheme(F.col("target")).isin("http", "https"))
     t = t.withColumn("internal", U.netloc(F.col("target")) == F.col("netloc"))
     outside = t.where(~F.col("internal") & F.coalesce(U.public_http(F.col("target")), F.lit(True))).withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("target"))).where(F.col("n") <= (most_external if external else 0)).drop("n")

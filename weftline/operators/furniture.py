@@ -63,25 +63,36 @@ def page_furniture(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _first_seen(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """(site, _column): the distinct items of a column over a site, as first seen; copies are gone before they meet."""
+    each = rows.select("site", "ord", F.posexplode(column).alias("pos", "item")).where(F.coalesce(F.col(f"item.{key}"), F.lit("")) != "")
+    once = each.groupBy("site", F.col(f"item.{key}").alias("key")).agg(F.min(F.struct("ord", "pos")).alias("at"), F.min_by("item", F.struct("ord", "pos")).alias("item"))
+    return once.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias(f"_{column}"))
+
+
+def _listed(column: str) -> Column:
+    return F.coalesce(F.col(f"_{column}"), F.filter(F.col(f"best.{column}"), lambda x: F.lit(False))).alias(column)
+
+
 def site_furniture(pages: DataFrame) -> DataFrame:
     """One row per site: furniture of the page that shows the most of it, unions of social and legal links and badges, and the pages whose menu differs."""
     size = F.size("nav") + F.aggregate(F.transform("footer_groups", lambda g: F.size(g["links"])), F.lit(0), lambda a, x: a + x)
     hrefs = F.transform("nav", lambda n: n["href"])
     rows = pages.where("has_landmarks").withColumns({"_hrefs": hrefs, "_size": size})
-    best = rows.groupBy("site").agg(F.max_by(F.struct("url", "logo", "nav", "primary_cta", "footer_groups", "copyright", "_hrefs"), F.struct("_size", -F.col("ord"))).alias("best"))
+    best = rows.groupBy("site").agg(F.max_by(F.struct("url", "logo", "nav", "primary_cta", "footer_groups", "copyright", "_hrefs", "social", "legal", "badges"), F.struct("_size", -F.col("ord"))).alias("best"))
     first = lambda c, ok: F.min_by(F.col(c), F.when(ok, F.col("ord")))
-    union = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]))
     told = rows.groupBy("site").agg(
         first("logo", F.col("logo").isNotNull()).alias("_logo"), first("primary_cta", F.col("primary_cta").isNotNull()).alias("_cta"), first("copyright", F.col("copyright") != "").alias("_copyright"),
-        union("social").alias("_social"), union("legal").alias("_legal"), union("badges").alias("_badges"),
     )
+    for column, key in (("social", "href"), ("legal", "href"), ("badges", "src")):
+        told = told.join(_first_seen(rows, column, key), "site", "left")
     differ = rows.join(best.select("site", F.col("best._hrefs").alias("_best")), "site").where(F.col("_hrefs") != F.col("_best"))
     differ = differ.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("pages_with_a_different_nav"))
     counts = pages.groupBy("site").agg(F.count("*").alias("pages"), F.bool_or("has_landmarks").alias("has_landmarks"))
     out = counts.join(best, "site", "left").join(told, "site", "left").join(differ, "site", "left")
     return out.select(
         "site", "pages", "has_landmarks", F.col("best.url").alias("from"), F.coalesce("best.logo", "_logo").alias("logo"), F.col("best.nav").alias("nav"), F.coalesce("best.primary_cta", "_cta").alias("primary_cta"),
-        F.col("best.footer_groups").alias("footer_groups"), _unique(F.col("_social"), "href").alias("social"), _unique(F.col("_legal"), "href").alias("legal"),
-        F.coalesce(F.nullif(F.col("best.copyright"), F.lit("")), "_copyright", F.lit("")).alias("copyright"), _unique(F.col("_badges"), "src").alias("badges"),
+        F.col("best.footer_groups").alias("footer_groups"), _listed("social"), _listed("legal"),
+        F.coalesce(F.nullif(F.col("best.copyright"), F.lit("")), "_copyright", F.lit("")).alias("copyright"), _listed("badges"),
         F.coalesce("pages_with_a_different_nav", F.array().cast("array<string>")).alias("pages_with_a_different_nav"),
     )

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..functions.vectorised import vectorised
 
 PRECEDENCE = ("wp-rest", "rss", "shopify")
+
+
+@vectorised("string")
+def plain(text: pd.Series) -> pd.Series:
+    """Character references decoded."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 ITEM = "url string, title string, date string, author string, categories array<string>, html string, source string, front struct<vendor:string,product_type:string,tags:array<string>,price:string>"
 
 
@@ -52,9 +64,6 @@ def from_wordpress(posts: DataFrame, users: DataFrame, categories: DataFrame) ->
     named = posts.join(users.select(F.col("id").alias("author"), F.col("name").alias("author_name")), "author", "left")
     each = posts.select("ord", "link", F.posexplode("categories").alias("pos", "id")).join(categories.select("id", F.col("name").alias("category")), "id", "left")
     listed = each.groupBy("ord", "link").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("category", F.col("id").cast("string")).alias("c")))), lambda x: x["c"]).alias("category_names"))
-    from html import unescape
-
-    plain = F.udf(unescape)
     rows = named.join(listed, ["ord", "link"], "left")
     return rows.select(
         "ord", U.normalize(F.col("link")).alias("url"), plain(F.regexp_replace("title.rendered", "<[^>]+>", "")).alias("title"), F.nullif(F.substring("date", 1, 10), F.lit("")).alias("date"),

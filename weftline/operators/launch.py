@@ -39,11 +39,11 @@ def counts(rows: DataFrame) -> DataFrame:
 
 def sitemap_differences(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """(path, side): kept pages missing from the new sitemap, and paths new in it. Empty where the sitemap is."""
-    some = listed.limit(1).select(F.lit(1).alias("some"))
+    some = listed.limit(1).select(F.lit(1).alias("some"))  # one row, or none
     paths = listed.select(U.path_key(F.col("url")).alias("path")).distinct()
     kept = rows.where((F.col("verdict") == "ok") & (F.size("chain") == 0)).select(U.path_key(F.col("old_url")).alias("path")).distinct()
     old = rows.select(U.path_key(F.col("old_url")).alias("path")).distinct()
-    missing = kept.join(paths, "path", "left_anti").join(F.broadcast(some)).select("path", F.lit("missing_from_sitemap").alias("side"))
+    missing = kept.join(paths, "path", "left_anti").join(some, F.lit(1) == F.col("some"), "left_semi").select("path", F.lit("missing_from_sitemap").alias("side"))
     return missing.unionByName(paths.join(old, "path", "left_anti").select("path", F.lit("new_in_sitemap").alias("side")))
 
 

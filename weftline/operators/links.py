@@ -37,11 +37,14 @@ def _ordered(name: str) -> Column:
 
 
 def inbound(edges_: DataFrame, known: DataFrame) -> DataFrame:
-    """Degrees of known URLs by place of the link, with the linking pages in order of first sight. Edges to unknown URLs are dropped."""
-    met = edges_.join(known.select(F.col("url").alias("to_url")).distinct(), "to_url")
-    each = met.groupBy("to_url", "sitewide").agg(F.count_distinct("from_url").alias("count"), _ordered("from_url").alias("from"))
-    at = lambda s, c: F.max(F.when(F.col("sitewide") == s, F.col(c)))
-    return each.groupBy(F.col("to_url").alias("url")).agg(at(True, "count").alias("sitewide_links"), at(False, "count").alias("body_links"), at(True, "from").alias("sitewide_from"), at(False, "from").alias("body_from")).fillna(0, ["sitewide_links", "body_links"])
+    """Degrees of known URLs by place of the link. Edges to unknown URLs are dropped. Which pages they come from is `sources`: a home page has as many as its site has pages."""
+    met = edges_.select("site", "from_url", "to_url", "sitewide").distinct().join(known.select(F.col("url").alias("to_url")).distinct(), "to_url")
+    return met.groupBy(F.col("to_url").alias("url")).agg(F.count_if(F.col("sitewide")).alias("sitewide_links"), F.count_if(~F.col("sitewide")).alias("body_links"))
+
+
+def sources(edges_: DataFrame, known: DataFrame) -> DataFrame:
+    """(url, sitewide, from_url, ord, pos) of links to known URLs: one row per linking page and place."""
+    return edges_.join(known.select(F.col("url").alias("to_url")).distinct(), "to_url").select(F.col("to_url").alias("url"), "sitewide", "from_url", "ord", "pos")
 
 
 def outbound(edges_: DataFrame) -> DataFrame:

@@ -19,17 +19,26 @@ def rollup(seen: DataFrame) -> DataFrame:
     rows = seen.where("src is not null and src != '' and not startswith(src, 'data:')").withColumn("v", v)
     at = F.struct("ord", "step", "pos")
     rows = rows.select("site", F.col("v.key").alias("key"), F.col("v.original").alias("original"), at.alias("at"), *[c for c in seen.columns if c not in ("site", "ord", "step", "pos")])
-    first = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("at", c)))), lambda x: x[c])
+
+    def once(values: DataFrame, name: str) -> DataFrame:
+        """values(site, key, at, v): distinct ones of a picture as first seen; copies are gone before they meet."""
+        seen_at = values.groupBy("site", "key", "v").agg(F.min("at").alias("at"))
+        return seen_at.groupBy("site", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+
+    words = lambda c: rows.where(F.col(c).isNotNull() & (F.col(c) != "")).select("site", "key", F.struct("at", F.lit(0).alias("sub")).alias("at"), F.col(c).alias("v"))
+    sizes = rows.select("site", "key", "at", F.posexplode("srcset").alias("sub", "v")).select("site", "key", F.struct("at", "sub").alias("at"), "v")
     page = rows.where("not og").groupBy("site", "key", "url").agg(F.min(F.struct("at", "heading", "beside")).alias("p"))
     pages = page.groupBy("site", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("p.at", "url", "p.heading", "p.beside"))), lambda x: F.struct(x["url"].alias("url"), x["heading"].alias("heading"), x["beside"].alias("beside"))).alias("pages"))
     sized = F.when(F.col("width").isNotNull() & (F.col("width") != 0), F.col("at"))
     body = rows.groupBy("site", "key").agg(
-        F.min("at").alias("at"), F.min_by("original", "at").alias("original"), F.array_distinct(first("src")).alias("seen"), F.array_distinct(first("alt")).alias("alts"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "srcset"))), lambda x: F.coalesce(x["srcset"], F.array().cast("array<struct<url:string,w:int>>"))))).alias("srcset"),
+        F.min("at").alias("at"), F.min_by("original", "at").alias("original"),
         F.bool_and("chrome").alias("chrome"), F.bool_or("background").alias("background"), F.bool_or("og").alias("og"), F.min_by("width", sized).alias("width"), F.min_by("height", sized).alias("height"),
         F.max("shown").alias("shown"), F.max("row").alias("row"), F.coalesce(F.bool_or("video"), F.lit(False)).alias("video"), F.coalesce(F.bool_or("autoplay"), F.lit(False)).alias("autoplay"),
     )
-    return body.join(pages, ["site", "key"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<struct<url:string,heading:string,beside:string>>")))
+    kinds = {"pages": "array<struct<url:string,heading:string,beside:string>>", "seen": "array<string>", "alts": "array<string>", "srcset": "array<struct<url:string,w:int>>"}
+    for part in (pages, once(words("src"), "seen"), once(words("alt"), "alts"), once(sizes, "srcset")):
+        body = body.join(part, ["site", "key"], "left")
+    return body.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in kinds.items()})
 
 
 def classify(items: DataFrame, logos: DataFrame | None = None) -> DataFrame:

@@ -64,9 +64,12 @@ def report(records: DataFrame) -> DataFrame:
         F.count_if(read).alias("read"),
         F.count_if(~read & F.col("reason").isin("unread", "sampled_out")).alias("not_read"),
         F.bround(F.sum(F.when(read, F.coalesce("word_count", F.lit(0)))) / F.nullif(F.count_if(read), F.lit(0)), 0).cast("long").alias("avg_words"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "url"))), 1, 3), lambda x: x["url"]).alias("examples"),
     )
-    return body.join(shapes, ["site", "template"], "left").fillna(0, ["shapes"]).withColumn("collection", R.is_collection(F.col("template")))
+    # three rows of each template leave a task
+    turn = F.row_number().over(Window.partitionBy("site", "template").orderBy(F.asc_nulls_last("ord"), "url"))
+    shown = records.where("template is not null").select("site", "template", "ord", "url", turn.alias("turn")).where("turn <= 3")
+    examples = shown.groupBy("site", "template").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "url"))), lambda x: x["url"]).alias("examples"))
+    return body.join(examples, ["site", "template"]).join(shapes, ["site", "template"], "left").fillna(0, ["shapes"]).withColumn("collection", R.is_collection(F.col("template")))
 
 
 def frontier(found: DataFrame) -> DataFrame:

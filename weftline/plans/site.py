@@ -7,6 +7,7 @@ written once; the rest is declared and runs when it is asked for.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ def with_markdown(parsed: DataFrame) -> DataFrame:
 
 @dataclass
 class Site:
+    """Tables of a run; those below the inventory are declared when they are asked for."""
+
     parsed: DataFrame
     edges: DataFrame
     duplicates: DataFrame
@@ -57,14 +60,56 @@ class Site:
     pages: DataFrame
     inventory: DataFrame
     kept: DataFrame  # parsed pages that are read and no duplicates
-    facts: DataFrame
-    reviews: DataFrame
-    ratings: DataFrame
-    media: DataFrame
-    furniture: DataFrame
-    cards: DataFrame
+    assigned: DataFrame  # templates of known URLs
     limits: DataFrame  # site, limit_reached
 
+    @cached_property
+    def _items(self) -> DataFrame:
+        return self.kept.select("site", "url", "ord", K.jsonld_items_all(F.col("jsonld_raw")).alias("items"))
+
+    @cached_property
+    def _markup(self) -> DataFrame:
+        return self._items.select("site", "url", "ord", F.posexplode("items").alias("pos", "item"))
+
+    @cached_property
+    def _stated(self) -> DataFrame:
+        return self._items.select("site", "url", "ord", stated_reviews(F.col("items"), F.col("url")).alias("s"))
+
+    @cached_property
+    def _told(self) -> DataFrame:
+        """Reviews of the pages' own cards, then of their markup."""
+        each = lambda df, c: df.select("site", "ord", F.posexplode(c).alias("pos", "r")).select("site", "ord", "pos", "r.*")
+        return each(self.kept, "told").unionByName(each(self._stated, "s.reviews").withColumn("pos", F.col("pos") + 100_000))
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return facts.first_reviews(self._told)
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return facts.first_ratings(self._stated.select("site", "ord", F.posexplode("s.ratings").alias("pos", "r")).select("site", "ord", "pos", "r.*"))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        named = self.assigned.select("site", F.col("url").alias("norm"), "template")
+        placed = self.kept.select("site", "url", "ord", U.normalize(F.col("url")).alias("norm")).join(named, ["site", "norm"], "left").drop("norm")
+        found = facts.from_blocks(links.blocks(self.kept), placed, self._told)
+        return facts.merge(found.unionByName(facts.from_links(links.links(self.kept), placed)).unionByName(_stated_facts(self._markup)))
+
+    @cached_property
+    def furniture(self) -> DataFrame:
+        return furniture.site_furniture(furniture.page_furniture(self.kept))
+
+    @cached_property
+    def media(self) -> DataFrame:
+        return media.classify(media.rollup(_pictures(self.kept)), self.furniture.select("site", F.col("logo.src").alias("logo_src")))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        start = Window.partitionBy("site").orderBy("ord")
+        homes = self.kept.select("site", "title", "meta_description", F.row_number().over(start).alias("turn")).where("turn = 1").drop("turn")
+        return business.card(homes, business.merge(self._markup), self.facts)
+
 
 def _asked(pages: DataFrame, robots: DataFrame | None) -> DataFrame:
     """pages with status, final_url and robots filled in where they are not given."""
@@ -153,20 +198,8 @@ def build(pages: DataFrame, profile: Profile = PROFILES["pages"], prior: DataFra
         old = prior.select("url", F.col("hash").alias("old_hash"))
         table = table.join(old, "url", "left").withColumn("change", F.when(F.col("file").isNull(), None).when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("hash"), "same").otherwise("changed")).drop("old_hash")
 
-    items = kept.select("site", "url", "ord", K.jsonld_items_all(F.col("jsonld_raw")).alias("items"))
-    stated = items.select("site", "url", "ord", stated_reviews(F.col("items"), F.col("url")).alias("s"))
-    told = kept.select("site", "ord", F.posexplode("told").alias("pos", "r")).select("site", "ord", "pos", "r.*").unionByName(stated.select("site", "ord", F.posexplode("s.reviews").alias("pos", "r")).select("site", "ord", (F.col("pos") + 100_000).alias("pos"), "r.*"))
-    ratings = facts.first_ratings(stated.select("site", "ord", F.posexplode("s.ratings").alias("pos", "r")).select("site", "ord", "pos", "r.*"))
-    markup = items.select("site", "url", "ord", F.posexplode("items").alias("pos", "item"))
-    placed = kept.select("site", "url", "ord", here.alias("norm")).join(assigned.select("site", F.col("url").alias("norm"), "template"), ["site", "norm"], "left").drop("norm")
-    found = facts.merge(facts.from_blocks(blocks, placed, told).unionByName(facts.from_links(links.links(kept), placed)).unionByName(_stated_facts(markup)))
-    frames = furniture.site_furniture(furniture.page_furniture(kept))
-    pictures = media.classify(media.rollup(_pictures(kept)), frames.select("site", F.col("logo.src").alias("logo_src")))
-    start = Window.partitionBy("site").orderBy("ord")
-    homes = kept.select("site", "title", "meta_description", F.row_number().over(start).alias("turn")).where("turn = 1").drop("turn")
-    cards = business.card(homes, business.merge(markup), found)
     limits = turn.groupBy("site").agg((F.max("turn") >= profile.max_pages).alias("limit_reached"))
-    return Site(parsed, edges, duplicates, repeated, final, table, kept, found, facts.first_reviews(told), ratings, pictures, frames, cards, limits)
+    return Site(parsed, edges, duplicates, repeated, final, table, kept, assigned, limits)
 
 
 def run_summary(records: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ class A11yFindings:
             yield pos, f
 
 
+def _signatures(text: pd.Series) -> pd.Series:
+    return text.fillna("").map(minhash_of)
+
+
 def register(spark: SparkSession) -> None:
     """html_blocks(html, url), html_links(html, url) and a11y_findings(html) for LATERAL joins, and minhash(text)."""
     for name, cls, schema in (
@@ -39,4 +44,4 @@ def register(spark: SparkSession) -> None:
         ("a11y_findings", A11yFindings, "pos int, finding string"),
     ):
         spark.udtf.register(name, F.udtf(cls, returnType=schema))
-    spark.udf.register("minhash", lambda text: minhash_of(text or ""), "array<bigint>")
+    spark.udf.register("minhash", F.pandas_udf(_signatures, "array<bigint>"))

@@ -1,7 +1,9 @@
 """Incremental runs over files as they arrive: latest-wins registries, and duplicates against what was kept before.
 
-Each batch is merged with the state table of the batches before; a batch that runs again finds the state it started from, so
-its result is the same. State tables are written whole under the number of their batch.
+A run has a folder: the stream's checkpoint, and tables whose parts are named by the batch that wrote them. A batch reads what
+earlier batches wrote and writes a part of its own, so one that runs again finds the state it started from, and a run that is
+started again goes on where the last one stopped. Results and kept pages are appended; a registry, as large as its keys are
+many, is written anew and its older parts go.
 """
 
 from __future__ import annotations
@@ -10,31 +12,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import changes, dedupe
-from ..plans.written import shared_folder
+from ..plans.written import shared_folder, written
 
 
-class State:
-    """Tables of one stream by batch number."""
+class Parts:
+    """A table in parts, one for each batch; a part counts when it is written whole."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.last: tuple[str, object] | None = None
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, T.StructType.fromDDL(schema)
 
-    def read(self) -> DataFrame | None:
-        return None if self.last is None else self.spark.read.schema(self.last[1]).parquet(self.last[0])
+    def _files(self):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        path = f"{self.folder}/{batch}"
-        df.write.mode("overwrite").parquet(path)
-        self.last = (path, df.schema)
+    def numbers(self) -> list[int]:
+        """Batches whose parts are whole."""
+        fs, path = self._files()
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        whole = lambda p: fs.exists(p.suffix("/_SUCCESS"))
+        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and whole(p))
 
+    def read(self, numbers: list[int]) -> DataFrame:
+        paths = [f"{self.folder}/{n}" for n in numbers]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-def _run(stream: DataFrame, fold, state: State) -> None:
-    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{state.folder}/checkpoint").trigger(availableNow=True)
+    def write(self, df: DataFrame, number: int) -> None:
+        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+
+    def drop(self, numbers: list[int]) -> None:
+        fs, path = self._files()
+        for n in numbers:
+            fs.delete(path.suffix(f"/{n}"), True)
+
+
+def _run(stream: DataFrame, fold, folder: str) -> None:
+    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.start().awaitTermination()
 
 
@@ -48,35 +68,47 @@ def _source(spark: SparkSession, path: str) -> DataFrame:
     return stream.parquet(path)
 
 
-def registry_once(spark: SparkSession, path: str) -> DataFrame:
-    """Latest event of each user, from a stream of events read to its end."""
-    state = State(spark, "registry")
+def registry(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Latest event of each user, from a stream of events read to its present end; started again on the same folder it reads what is new."""
+    parts = Parts(spark, f"{folder}/registry", "user_id bigint, event_type string, event_id bigint, ts timestamp")
 
     def fold(batch: DataFrame, number: int) -> None:
-        rows, old = batch.select("user_id", "event_type", "event_id", "ts"), state.read()
-        both = rows if old is None else rows.unionByName(old)
-        state.write(changes.latest(both, ["user_id"], [F.desc("ts"), F.desc("event_id")]), number)
+        before = [n for n in parts.numbers() if n < number]
+        both = batch.select(*parts.schema.names).unionByName(parts.read(before[-1:]))
+        parts.write(changes.latest(both, ["user_id"], [F.desc("ts"), F.desc("event_id")]), number)
+        parts.drop(before[:-1])
 
-    _run(_source(spark, path), fold, state)
-    return state.read().select("user_id", "event_type", "event_id")
+    _run(_source(spark, path), fold, folder)
+    return parts.read(parts.numbers()[-1:]).select("user_id", "event_type", "event_id")
 
 
-def dedupe_once(spark: SparkSession, path: str) -> DataFrame:
-    """Documents kept by digest and signature against those kept by earlier batches, from a stream read to its end."""
-    state = State(spark, "dedupe")
-    results = State(spark, "dedupe-results")
+def dedupe_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Documents kept by digest and signature against those kept by earlier batches, from a stream read to its present end; started again on the same folder it reads what is new."""
+    kept = Parts(spark, f"{folder}/kept", "site string, ord bigint, digest string, signature array<bigint>")
+    fates = Parts(spark, f"{folder}/fates", "site string, ord bigint, kept boolean, reason string")
 
     def fold(batch: DataFrame, number: int) -> None:
-        rows, old = batch.select(F.lit("all").alias("site"), F.col("doc_id").alias("ord"), "text"), state.read()
-        fate = dedupe.greedy(rows, kept_before=old)
-        done = results.read()
-        results.write(fate if done is None else done.unionByName(fate), number)
-        kept = rows.join(fate.where("kept").select("site", "ord"), ["site", "ord"], "left_semi")
-        signed = kept.select("site", "ord", X.content_digest(F.coalesce("text", F.lit(""))).alias("digest"), X.minhash(F.col("text")).alias("signature"))
-        state.write(signed if old is None else old.unionByName(signed), number)
-
-    _run(_source(spark, path), fold, state)
-    return results.read().select(F.col("ord").alias("doc_id"), "kept", "reason")
+        before = [n for n in kept.numbers() if n < number]
+        rows = batch.select(F.lit("all").alias("site"), F.col("doc_id").alias("ord"), "text")
+        fate = written(dedupe.greedy(rows, kept_before=kept.read(before) if before else None), "fate")
+        own = rows.join(fate.where("kept").select("site", "ord"), ["site", "ord"], "left_semi")
+        fates.write(fate, number)
+        kept.write(own.select("site", "ord", X.content_digest(F.coalesce("text", F.lit(""))).alias("digest"), X.minhash(F.col("text")).alias("signature")), number)
+
+    _run(_source(spark, path), fold, folder)
+    return fates.read(fates.numbers()).select(F.col("ord").alias("doc_id"), "kept", "reason")
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def registry_once(spark: SparkSession, path: str) -> DataFrame:
+    return registry(spark, path, _fresh(spark, "registry"))
+
+
+def dedupe_once(spark: SparkSession, path: str) -> DataFrame:
+    return dedupe_files(spark, path, _fresh(spark, "dedupe"))
 
 
 def first_seen(urls: DataFrame, delay: str = "1 day") -> DataFrame:
