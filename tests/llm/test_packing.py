@@ -59,3 +59,12 @@ def test_pieces(messy, empty):
             at += n
         assert at <= 64
     assert P.pack(empty, PATH).count() == 0
+
+
+def test_memory_of_other_operators_is_given_back():
+    """A task of another operator empties what packing remembers in its worker; one of packing keeps it."""
+    from weftline.llm import common
+
+    common.remembered("packing")["x"] = 1
+    assert list(common.tidy(iter, "packing")([1])) == [1] and common.remembered("packing") == {"x": 1}
+    assert list(common.tidy(iter)([2])) == [2] and common.remembered("packing") == {}

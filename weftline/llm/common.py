@@ -52,10 +52,25 @@ def step_settings(spark: SparkSession) -> Iterator[None]:
                     spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def tidy(run: Callable) -> Callable:
-    """A function over Arrow batches that gives memory back to the system when its task ends: Python workers live on."""
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    """What an operator remembers in this Python worker from task to task."""
+    return _REMEMBERED.setdefault(name, {})
+
+
+def forget(but: str | None) -> None:
+    for name, known in _REMEMBERED.items():
+        if name != but:
+            known.clear()
+
+
+def tidy(run: Callable, keep: str | None = None) -> Callable:
+    """A function over Arrow batches that starts without what other operators remember, and gives memory back to the system when its task ends: Python workers live on."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
         try:
             yield from run(batches)
         finally:

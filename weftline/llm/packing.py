@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parallelism, slabs, span_hashes, text_buffers, tidy
+from .common import parallelism, remembered, slabs, span_hashes, text_buffers, tidy
 
 WINDOW, END = 2048, 1
 #: Documents packed together, about.
@@ -153,14 +153,12 @@ class ChunkEncoder:
         return [tokens[a:b] for a, b in zip(at, at[1:])]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """One for each Python worker, while it packs."""
+    known = remembered("packing")
+    if path not in known:
+        known[path] = ChunkEncoder(path)
+    return known[path]
 
 
 _PIECE = ("start", "length", "ids_crc32", "doc_tokens")
@@ -180,7 +178,7 @@ def _pieces(path: str, window: int, end: int):
                 at, *columns = (pa.array(c, pa.int64()) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("row").take(at), *columns], names=["id", "row", *_PIECE])
 
-    return tidy(run)
+    return tidy(run, "packing")
 
 
 def _place(window: int):
@@ -207,7 +205,7 @@ def _place(window: int):
         if held:
             yield packed(pa.Table.from_batches(held))
 
-    return tidy(run)
+    return tidy(run, "packing")
 
 
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, per_bin: int = BIN) -> DataFrame:
