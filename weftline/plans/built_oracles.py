@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..functions import markup as K
+from ..functions import rules as R
 from ..functions import text as X
 from ..sources import feeds
-from .oracles import _ABS, _KNOWN, _LINES, _NAV, _NORMLINE, _PHONE_ROWS, _REPEATED ,  normal, part, site, squash
+from .oracles import _ABS, _KNOWN, _LINES, _NAV, _NORMLINE, _PHONE_ROWS, _REPEATED, _SEGS, normal, part, segments, site, squash
 
 # catalogue pages
 
@@ -151,6 +152,7 @@ _PAGE = f"""g AS (SELECT page_id, url, {_lines("regexp_extract(html, '(?s)<div c
   UNION ALL SELECT page_id, 900000, 'p', foot, true FROM g ANTI JOIN lo USING (page_id)),
  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, tag, text ORDER BY o) AS n FROM b WHERE text <> '') WHERE n = 1 OR length(text) < 60 AND regexp_matches(text, '[0-9]')),
  blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, tag, text, chrome FROM u)"""
+_COLLECTION = "(NOT starts_with(template, '/') OR contains(template, '*') OR contains(template, '{n}'))"
 _GENERIC = "'click here', 'here', 'read more', 'learn more', 'more', 'link', 'this', 'continue'"
 _A11Y = f"""t AS (SELECT page_id, {site('url')} AS site, url, {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages),
  gen AS (SELECT page_id, 'generic link text: ' || string_agg(DISTINCT '"' || w || '"', ', ' ORDER BY '"' || w || '"') AS f FROM (SELECT page_id, rtrim(lower({squash('text')}), '.!') AS w FROM ({_NAV})) WHERE w IN ({_GENERIC}) GROUP BY page_id),
@@ -182,4 +184,13 @@ PARSED = {
       SELECT site, kind, key, arg_min(value, {{'d': doc_id, 'p': pos}}) AS value, count(DISTINCT doc_id) AS sources FROM v WHERE value <> '' GROUP BY site, kind, key""",
 }
 
+#: The sampler goes through a site's pages one by one; what was admitted so far is carried along.
+PARSED["sampler_admit"] = f"""{_SEGS.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT site, url, min(ord) AS ord FROM k GROUP BY site, url),
+ a AS MATERIALIZED (SELECT t.site, t.url, template, lower(coalesce({segments('t.url')}[1], '')) AS sec, ord % 7 = 0 AS nav, row_number() OVER (PARTITION BY t.site ORDER BY ord) AS rank FROM t JOIN o USING (site, url)),
+ r AS (SELECT DISTINCT site, 0::BIGINT AS rank, '' AS url, []::VARCHAR[] AS ts, []::VARCHAR[] AS ss, false AS admitted FROM a UNION ALL
+  SELECT site, rank, url, CASE WHEN ok THEN list_append(ts, template) ELSE ts END, CASE WHEN ok THEN list_append(ss, sec) ELSE ss END, ok FROM (
+   SELECT a.site, a.rank, a.url, ts, ss, template, sec, NOT ({_COLLECTION} AND len(list_filter(ts, lambda x: x = template)) >= 2)
+    AND NOT (NOT nav AND sec <> '' AND len(list_filter(ss, lambda x: x = sec)) >= CASE WHEN regexp_matches(sec, '{R.POST_SECTIONS}') THEN 2 ELSE 3 END) AS ok FROM r JOIN a ON a.site = r.site AND a.rank = r.rank + 1))
+ SELECT site, url, admitted FROM r WHERE rank > 0"""
+
 BUILT = CATALOGUE | REVIEWS | SOURCES | LISTINGS | REPORTS | PARSED
