@@ -16,7 +16,7 @@ from ..functions import url as U
 from ..operators import audit, business, changes, content, dedupe, facts, furniture, inventory, launch, links, measure, media, templates
 from ..parse.stage import a11y_findings
 from . import site as S
-from .written import spread
+from .written import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,9 +179,11 @@ def dedupe_greedy(spark, sf_dir):
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("site"), F.col("doc_id").alias("ord"), "text")
+    """Pairs of documents that share a band and agree in half of their signature."""
+    d = table(spark, sf_dir, "documents").select(F.lit("all").alias("site"), F.col("doc_id").alias("ord"), "text")
     first = dedupe.exact(d).where("kept").select("site", "ord")
-    return dedupe.candidate_pairs(dedupe.signatures(d.join(first, ["site", "ord"], "left_semi"))).select("site", "a", "b", "agreement")
+    signed = written(dedupe.signatures(spread(d.join(first, ["site", "ord"], "left_semi"))).select("site", "ord", "signature"), "signatures")
+    return dedupe.candidate_pairs(signed, 0.5).select("site", "a", "b", "agreement")
 
 
 @query
